@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..plans.ship import ship
 from .codec import Entry, Group, encode_segment
 from .log import Writer, WriterOptions, load, paced_end, records_of, save
 from .store import LocalStore
@@ -189,6 +190,7 @@ class LogSource(DataSource):
 
 
 def register(spark) -> None:
+    ship(spark)
     spark.dataSource.register(LogSource)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..plans.ship import ship
+
 #: Characters (or bytes) of text that a Python worker turns into arrays at once.
 CHUNK = 1 << 20
 #: Cells of a pass of the threshold search.
@@ -19,6 +21,7 @@ CELLS = 4096
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table by Spark's own reader; the path may be in any store."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,8 +7,9 @@ languages that use the word's script are candidates. The best path pays
 SWITCH for every change of language; the text's language is that of most
 letters on the path and its share is the score.
 
-The model is fitted on a bounded sample: of every language the SAMPLE documents
-with the smallest hashes of their ids, whole texts. Everything else covers all rows.
+The model is fitted on a bounded sample: of every language, documents are taken
+by the hash of their ids at the rate that gives SAMPLE of them, whole texts.
+Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, with_columns
 
-#: Documents of each language that the model is fitted on.
+#: Documents of each language that the model is fitted on, on average.
 SAMPLE = 1500
 SWITCH, ALPHA = 12.0, 0.2
 #: A language uses a script from this share of its letters on.
@@ -145,11 +146,10 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on rows with text, lang and an id that isn't held out. Without such rows there are no languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = known.select("doc_id", "lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
-    # At most `sample` ids of a language: small enough to broadcast whatever the corpus.
-    chosen = ids.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= sample).select("doc_id").distinct()
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    # A row for each language.
+    rate = known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("rate"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(rate), "lang").where(place < F.col("rate"))
     counts = texts.select("lang", "text").mapInArrow(_fit_batches, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
     lang = np.array(counts.column("lang").to_pylist(), object)
     k, n = counts.column("k").to_numpy(), counts.column("n").to_numpy()

@@ -67,12 +67,16 @@ def _matches(text: Column, worth: Column, pattern: str, kind: int) -> Column:
     return F.when(worth, F.filter(rows, lambda x: x["m"].isNotNull()))
 
 
+def _signs(text: Column) -> tuple[Column, Column, Column]:
+    """Digits, an @ and an (at): without any of them no generator finds anything."""
+    return F.regexp_like(text, F.lit("[0-9]")), F.contains(text, F.lit("@")), F.regexp_like(text, F.lit(r"[\[(](?:at|AT)[\])]"))
+
+
 def proposals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, candidates): rows (row, doc_id, hash) of docs, and every generator's matches with their places."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    digit, at = F.regexp_like(text, F.lit("[0-9][ ().-]{0,2}[0-9]")), F.contains(text, F.lit("@"))
-    spelled = F.regexp_like(text, F.lit(r"[\[(](?:at|AT)[\])]"))
-    generators = [(EMAIL, at), (IP, digit), (CARD, digit), (PHONE, F.contains(text, F.lit("+")) & F.regexp_like(text, F.lit("[0-9]"))), (DIGITS, digit), (SPELLED, spelled)]
+    digit, at, spelled = _signs(text)
+    generators = [(EMAIL, at), (IP, digit), (CARD, digit), (PHONE, F.contains(text, F.lit("+")) & digit), (DIGITS, digit), (SPELLED, spelled)]
     none = F.array().cast("array<struct<kind:int,m:string,gap:int,tail:string,head:string>>")
     every = F.concat(*[F.coalesce(_matches(text, worth, p, k), none) for k, (p, worth) in enumerate(generators)])
     rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("hash"), every.alias("found")))
@@ -248,9 +252,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Of overlapping spans each replaces what those before it have left.
     """
-    hits = detect(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("found").alias("_found"))
-    hits = settle(hits.groupBy("_id", "_hash").agg(F.first("_found").alias("_found")))
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"]) == hits["_hash"]), "left")
+    hits = detect(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_llm_id"), F.col("hash").alias("_llm_hash"), F.col("found").alias("_llm_found"))
+    hits = settle(hits.groupBy("_llm_id", "_llm_hash").agg(F.first("_llm_found").alias("_llm_found")))
+    digit, at, spelled = _signs(F.coalesce(F.col("text"), F.lit("")))
+    # Only texts in which something can be found are shuffled to their spans.
+    open_ = docs.where(digit | at | spelled)
+    joined = open_.join(hits, open_["doc_id"].eqNullSafe(hits["_llm_id"]) & (F.xxhash64(open_["text"]) == hits["_llm_hash"]), "left")
     # (parts, place): the parts put out so far and the code points they stand for.
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
@@ -259,7 +266,7 @@ def redact(docs: DataFrame) -> DataFrame:
         part = F.concat(F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.element_at(name, s["kind"] + 1))
         return F.when(s["end"] <= a["at"], a).otherwise(F.struct(F.concat(a["parts"], F.array(part)).alias("parts"), s["end"].alias("at")))
 
-    done = F.aggregate("_found", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1))))
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(done)
-    cols = [text.alias(c) if c == "text" else F.when(F.col("_found").isNull(), F.col(c)).otherwise(F.length(text)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*cols)
+    done = F.aggregate("_llm_found", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1))))
+    text = F.when(F.col("_llm_found").isNull(), F.col("text")).otherwise(done)
+    cols = [text.alias(c) if c == "text" else F.when(F.col("_llm_found").isNull(), F.col(c)).otherwise(F.length(text)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return joined.select(*cols).unionAll(docs.where(~(digit | at | spelled)))

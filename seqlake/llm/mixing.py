@@ -137,22 +137,25 @@ def remix(docs: DataFrame) -> DataFrame:
     """
     got = mix(docs).where("taken > 0")
     ranges = F.expr(f"filter(transform(sequence(lo div {BLOCK}, (hi - 1) div {BLOCK}), b -> named_struct('at', greatest(0L, b * {BLOCK} - lo), 'n', {_overlap('b')})), r -> r.n > 0)")
-    got = got.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "passes", ranges.alias("_ranges"))
+    mine = ["_llm_id", "_llm_hash", "_llm_passes", "_llm_ranges", "_llm_nth"]
+    got = got.select(F.col("doc_id").alias(mine[0]), F.col("_text").alias(mine[1]), F.col("passes").alias(mine[2]), ranges.alias(mine[3]))
     # Repeated rows are told apart by their number among equal ones.
-    again = Window.partitionBy("_id", "_hash").orderBy("passes", F.to_json(F.col("_ranges")))
-    got = settle(got.withColumn("_nth", F.row_number().over(again)))
-    keyed = docs.withColumn("_hash_", F.xxhash64("text"))
-    if got.where("_nth > 1").isEmpty():
-        keyed = keyed.withColumn("_nth_", F.lit(1))
+    again = Window.partitionBy(*mine[:2]).orderBy("_llm_passes", F.to_json(F.col("_llm_ranges")))
+    got = settle(got.withColumn("_llm_nth", F.row_number().over(again)))
+    keyed = docs.withColumn("_llm_key", F.xxhash64("text"))
+    if got.where("_llm_nth > 1").isEmpty():
+        keyed = keyed.withColumn("_llm_at", F.lit(1))
     else:
-        keyed = keyed.withColumn("_nth_", F.row_number().over(Window.partitionBy("doc_id", "_hash_").orderBy("_hash_")))
-    both = keyed.join(got, keyed["doc_id"].eqNullSafe(got["_id"]) & (keyed["_hash_"] == got["_hash"]) & (keyed["_nth_"] == got["_nth"]))
+        keyed = keyed.withColumn("_llm_at", F.row_number().over(Window.partitionBy("doc_id", "_llm_key").orderBy("_llm_key")))
+    both = keyed.join(got, keyed["doc_id"].eqNullSafe(got["_llm_id"]) & (keyed["_llm_key"] == got["_llm_hash"]) & (keyed["_llm_at"] == got["_llm_nth"]))
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), WHITE)
-    part = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(words, r["at"].cast("int") + 1, r["n"].cast("int")))), " ")
-    copies = F.concat(F.array_repeat(F.lit(True), F.col("passes").cast("int")), F.when(F.size("_ranges") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    both = both.withColumn("_whole", F.explode(copies))
-    text = F.when(F.col("_whole"), F.col("text")).otherwise(part)
-    cols = [text.alias(c) if c == "text" else F.when(F.col("_whole"), F.col(c)).otherwise(F.length(text)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    # The outer transform binds the words, so that a text is split once and not for each range.
+    pick = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_llm_ranges", lambda r: F.slice(w, r["at"].cast("int") + 1, r["n"].cast("int")))), " "))
+    some = F.when(F.size("_llm_ranges") > 0, F.transform(pick, lambda t: F.struct(t.alias("text"), F.length(t).alias("n")))).otherwise(F.array().cast("array<struct<text:string,n:int>>"))
+    whole = F.array_repeat(F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).alias("n")), F.col("_llm_passes").cast("int"))
+    both = both.withColumn("_llm_copy", F.explode(F.concat(whole, some)))
+    part = F.col("_llm_copy.text")
+    cols = [F.coalesce(part, F.col(c)).alias(c) if c == "text" else F.when(part.isNull(), F.col(c)).otherwise(F.col("_llm_copy.n")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return both.select(*cols)
 
 

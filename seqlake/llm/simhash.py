@@ -226,8 +226,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     document: one of them stays.
     """
     found = settle(near_duplicates(docs))
-    drop = settle(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
+    drop = settle(found.where("doc_id != component_id").select(F.col("doc_id").alias("_llm_gone")).distinct())
+    kept = docs.join(drop, docs["doc_id"] == drop["_llm_gone"], "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
         return kept

@@ -2,12 +2,15 @@
 
 Base spans come from four patterns and their checks and always stay. Wider
 generators propose more candidates, overlapping ones included: digit groups of
-any format, and mail addresses written with (at) and (dot). Boosted regression
-trees score a candidate from its format and context. They are fitted here, by
-weak labels: a candidate on a base span is personal data, one on none isn't;
-what the base patterns decide by (a leading +, the card checksum) is no feature, so that the
-trees learn what such numbers look like and where they stand. All features are
-small integers, so the corpus's candidates come to the driver as counts of
+any format, single runs of 14 to 19 digits (base takes a card and the number
+next to it for one, which fails), whatever stands around an @, and mail
+addresses written with (at) and (dot). Boosted regression trees score a
+candidate from its format and context. They are fitted here, by weak labels: a
+candidate on a base span is personal data, one on none isn't. Addresses in
+words and runs right beside other digits have no label, as base can't see them;
+they are scored by the features that they share with the others. A leading + is no feature, and the card checksum is one of single
+runs only, so that the trees learn what other numbers look like and where they
+stand. All features are small integers, so the corpus's candidates come to the driver as counts of
 feature vectors, bounded by the features' values and not by the corpus. Half of
 the candidates (by document) fit the trees, the other half calibrates, for each
 kind, the lowest score from which on PRECISION of the candidates are base spans.
@@ -37,9 +40,15 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: The wider generators: groups of digits, and mail addresses in words.
+#: The wider generators: groups of digits, single runs of them, what stands around an @, and mail addresses in words.
 DIGITS = r"[0-9](?:[\x20().-]{0,2}[0-9])++"
-SPELLED = r"[A-Za-z0-9_%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]{1,64})++"
+RUN = r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"
+MAIL = r"[A-Za-z0-9._%+-]{1,64}\x20?@\x20?[A-Za-z0-9-]{1,64}(?:\.[A-Za-z0-9-]{1,64})*+"
+SPELLED_AT, SPELLED_DOT = r"\x20?[\[(](?:at|AT)[\])]\x20?", r"\x20?[\[(](?:dot|DOT)[\])]\x20?"
+SPELLED = rf"[A-Za-z0-9._%+-]{{1,64}}{SPELLED_AT}[A-Za-z0-9-]{{1,64}}(?:(?:\.|{SPELLED_DOT})[A-Za-z0-9-]{{1,64}})++"
+#: Places of the generators among all; FORM: what the trees are told of it.
+WIDE, AROUND_AT, ONE_RUN, IN_WORDS = 4, 5, 6, 7
+FORM = [0, 1, 2, 1]
 #: Words before a number that say what it is.
 CUES = [r"(?i)(?:phone|tel|call|mobile|fax|telefon|whatsapp)\W*$", r"(?i)(?:card|visa|amex|mastercard|credit|carte|karte|tarjeta)\W*$", r"(?i)(?:\bip|addr|address|host|server)\W*$"]
 
@@ -58,7 +67,7 @@ def _matches(text: Column, worth: Column, pattern: str, kind: int) -> Column:
     """Array of (kind, match, gap: length of the part before, tail, head: what stands around)."""
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.transform(
-        F.arrays_zip(parts.alias("p"), found.alias("m"), F.slice(parts, 2, F.lit(2**31 - 1)).alias("q")),
+        F.arrays_zip(parts.alias("p"), found.alias("m"), F.slice(parts, F.lit(2), F.size(parts)).alias("q")),
         lambda x: F.struct(
             F.lit(kind).alias("kind"), x["m"].alias("m"), F.length(x["p"]).alias("gap"),
             F.substring(x["p"], F.greatest(F.lit(1), F.length(x["p"]) - 23), F.lit(24)).alias("tail"), F.substring(x["q"], 1, 2).alias("head"),
@@ -76,7 +85,7 @@ def proposals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, candidates): rows (row, doc_id, hash) of docs, and every generator's matches with their places."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digit, at, spelled = _signs(text)
-    generators = [(EMAIL, at), (IP, digit), (CARD, digit), (PHONE, F.contains(text, F.lit("+")) & digit), (DIGITS, digit), (SPELLED, spelled)]
+    generators = [(EMAIL, at), (IP, digit), (CARD, digit), (PHONE, F.contains(text, F.lit("+")) & digit), (DIGITS, digit), (MAIL, at), (RUN, digit), (SPELLED, spelled)]
     none = F.array().cast("array<struct<kind:int,m:string,gap:int,tail:string,head:string>>")
     every = F.concat(*[F.coalesce(_matches(text, worth, p, k), none) for k, (p, worth) in enumerate(generators)])
     rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("hash"), every.alias("found")))
@@ -93,11 +102,11 @@ def proposals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("kind") == 3, n.between(10, 15))
         .otherwise(False)
     )
-    return rows.drop("found"), settle(one.withColumn("base", good).where(F.col("base") | (F.col("kind") >= 4)))
+    return rows.drop("found"), settle(one.withColumn("base", good).where(F.col("base") | (F.col("kind") >= WIDE)))
 
 
 #: Feature columns of a candidate; all are small non-negative integers.
-FEATURES = ["f_form", "f_digits", "f_marks", "f_groups", "f_first", "f_cue", "f_before", "f_after"]
+FEATURES = ["f_form", "f_digits", "f_marks", "f_groups", "f_first", "f_cue", "f_before", "f_after", "f_check"]
 
 
 def _side(c: Column) -> Column:
@@ -105,6 +114,7 @@ def _side(c: Column) -> Column:
 
 
 def features(wide: DataFrame) -> DataFrame:
+    """wide with FEATURES and labelled: whether base could have found the candidate."""
     m = F.col("m")
     bare = F.regexp_replace(m, "[0-9]", "")
     marks = F.when(bare == "", 0).when(F.translate(bare, " ", "") == "", 1).when(F.translate(bare, "-", "") == "", 2).when(F.translate(bare, ".", "") == "", 3).otherwise(F.when(F.contains(bare, F.lit("(")) | F.contains(bare, F.lit(")")), 5).otherwise(4))
@@ -112,9 +122,18 @@ def features(wide: DataFrame) -> DataFrame:
     cue = F.lit(0)
     for k, pattern in reversed(list(enumerate(CUES))):
         cue = F.when(F.regexp_like("tail", F.lit(pattern)), k + 1).otherwise(cue)
+    # Of a mail address: the parts of its host and the length of the last, as if it were written with an @.
+    mail = F.col("kind").isin(AROUND_AT, IN_WORDS)
+    host = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, SPELLED_AT, "@"), SPELLED_DOT, "."), r"^[^@]*@\x20?", ""), r"\.")
+    joined = F.regexp_like("tail", F.lit(r"(?:^|[0-9])[\x20-]?$")) | F.regexp_like("head", F.lit(r"^[\x20-]?(?:[0-9]|$)"))
     return wide.withColumns({
-        "f_form": F.col("kind") - 4, "f_digits": F.least(_digits(m), F.lit(20)), "f_marks": marks, "f_groups": F.least(F.size(groups), F.lit(6)),
-        "f_first": F.least(F.length(F.element_at(groups, 1)), F.lit(6)), "f_cue": cue,
+        "labelled": (F.col("kind") != IN_WORDS) & ~((F.col("kind") == ONE_RUN) & joined),
+        "f_form": F.element_at(F.array(*[F.lit(v) for v in FORM]), F.col("kind") - WIDE + 1),
+        "f_digits": F.when(mail, 0).otherwise(F.least(_digits(m), F.lit(20))),
+        "f_marks": F.when(mail, (F.col("kind") == AROUND_AT).cast("int") * F.regexp_like(m, F.lit(r"\x20@|@\x20")).cast("int")).otherwise(marks),
+        "f_groups": F.least(F.when(mail, F.size(host)).otherwise(F.size(groups)), F.lit(6)),
+        "f_first": F.least(F.length(F.when(mail, F.element_at(host, -1)).otherwise(F.element_at(groups, 1))), F.lit(6)), "f_cue": cue,
+        "f_check": F.when(F.col("kind") == ONE_RUN, _luhn(m).cast("int")).otherwise(0),
         # A plus sign and an opening bracket belong to the base pattern's match: what stands before them counts.
         "f_before": _side(F.substring(F.regexp_replace("tail", r"[+(\x20]+$", ""), -1, 1)), "f_after": _side(F.col("head")),
     })
@@ -188,19 +207,19 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows, found = proposals(docs)
     base = found.where("base").select("row", "kind", "start", "end")
-    wide = features(found.where("kind >= 4")).select("row", "kind", "start", "end", *FEATURES)
+    wide = features(found.where(F.col("kind") >= WIDE)).select("row", "kind", "start", "end", *FEATURES, "labelled")
     # Whether a candidate lies on a base span: the farthest end of those that begin before its end.
-    marks = base.select("row", F.col("start").alias("at"), F.lit(0).alias("side"), "end", *[F.lit(None).cast("int").alias(c) for c in ("kind", "start", *FEATURES)])
-    asks = wide.select("row", F.col("end").alias("at"), F.lit(-1).alias("side"), F.lit(None).cast("int").alias("far"), "kind", "start", *FEATURES, F.col("end").alias("stop"))
+    marks = base.select("row", F.col("start").alias("at"), F.lit(0).alias("side"), "end", *[F.lit(None).cast("int").alias(c) for c in ("kind", "start", *FEATURES)], F.lit(None).cast("boolean").alias("labelled"))
+    asks = wide.select("row", F.col("end").alias("at"), F.lit(-1).alias("side"), F.lit(None).cast("int").alias("far"), "kind", "start", *FEATURES, "labelled", F.col("end").alias("stop"))
     both = marks.withColumnRenamed("end", "far").withColumn("stop", F.lit(None).cast("int")).unionByName(asks)
     before = Window.partitionBy("row").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("reach", F.max("far").over(before)).where("stop is not null")
     seen = settle(seen.withColumn("hit", F.coalesce(F.col("reach") > F.col("start"), F.lit(False))).drop("far", "reach", "at", "side"))
-    kind = F.when(F.col("kind") == 5, 0).when((F.col("f_marks") == 3) & (F.col("f_groups") == 4) & (F.col("f_digits") <= 12), 1).when(F.col("f_digits") >= 14, 2).otherwise(3)
+    kind = F.when(F.col("kind").isin(AROUND_AT, IN_WORDS), 0).when((F.col("f_marks") == 3) & (F.col("f_groups") == 4) & (F.col("f_digits") <= 12), 1).when(F.col("f_digits") >= 14, 2).otherwise(3)
     seen = seen.withColumn("as", kind)
     half = (F.xxhash64("row", F.lit(9)) % 2 == 0).alias("fits")
     # One row a feature vector, kind and half: bounded by the features' values.
-    counts = seen.groupBy(*FEATURES, "as", half).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).toPandas()
+    counts = seen.where("labelled").groupBy(*FEATURES, "as", half).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).toPandas()
     fits = counts["fits"].to_numpy(bool) if len(counts) else np.zeros(0, bool)
     more = None
     if fits.any() and (~fits).any():

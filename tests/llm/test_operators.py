@@ -415,6 +415,30 @@ def test_pii_adds_spans_that_look_like_base_ones(spark):
     assert extra == {i for i in range(1500) if i % 50 == 0}
 
 
+def test_pii_adds_cards_beside_numbers_and_addresses_in_words(spark):
+    """Cards and addresses stand alone but for a few; as many numbers of sixteen digits are no cards."""
+    rng = np.random.default_rng(9)
+
+    def card(good):
+        d = [int(c) for c in rng.integers(0, 10, 15)]
+        last = -sum(c if i % 2 else sum(divmod(2 * c, 10)) for i, c in enumerate(reversed(d))) % 10
+        return "".join(map(str, [*d, last if good else (last + 1 + rng.integers(0, 9)) % 10]))
+
+    rows, want = [], {}
+    for i in range(600):
+        mine, other, odd = card(True), card(False), i % 100 == 7
+        number = f"{other} {mine} or so" if odd else f"{mine} or so, not {other} or so"  # the same surroundings for both
+        mail = f"user{i} (at) mail{i % 9}.example (dot) com" if odd else f"user{i}@mail{i % 9}.example.com"
+        text = f"he paid by {number}, and wrote from {mail} to a@b at ten"
+        rows.append((i, text))
+        want[i] = {f"card:{text.index(mine)}:{text.index(mine) + 16}", f"email:{text.index(mail)}:{text.index(mail) + len(mail)}"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pii.op9(spark, docs).collect()}
+    assert {i: set(r.spans.split(",")) for i, r in got.items()} == want
+    assert {i for i, r in got.items() if not r.n_card and not r.n_email} == {i for i in range(600) if i % 100 == 7}
+    assert all("[CARD]" in r.text and "[EMAIL]" in r.text for r in pii.redact(docs).collect())
+
+
 def test_boosting_separates():
     x = np.array([[a, b, 0, 0, 0, 0, 0, 0] for a in range(4) for b in range(4)])
     n = np.full(16, 100.0)

@@ -8,7 +8,9 @@ and a footer. All older versions are read; segments v2 and manifests v4 are writ
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import zstandard
@@ -34,7 +36,8 @@ def _crc_table() -> np.ndarray:
 
 _TABLE = _crc_table()
 _BYTE = _TABLE.tolist()
-_LANE = 1024
+#: Lane lengths of short and long inputs, and where an input is long.
+_LANES, _LONG = (64, 1024), 1 << 18
 
 
 def _advance(state: int, zeros: int) -> int:
@@ -57,9 +60,10 @@ def _advance(state: int, zeros: int) -> int:
     return state
 
 
-def _lane_shift() -> list[list[int]]:
+@cache
+def _lane_shift(lane: int) -> list[list[int]]:
     """Tables that advance a register by one lane: one for each byte of the register."""
-    unit = [_advance(1 << i, _LANE) for i in range(32)]
+    unit = [_advance(1 << i, lane) for i in range(32)]
     tables = []
     for b in range(4):
         row = [0] * 256
@@ -71,23 +75,19 @@ def _lane_shift() -> list[list[int]]:
     return tables
 
 
-_SHIFT: list[list[int]] = []
-
-
 def crc32c(data: bytes) -> int:
     """CRC-32C; long inputs go through in equal lanes side by side, joined afterwards."""
-    state, lanes = 0xFFFFFFFF, len(data) // _LANE
+    lane = _LANES[len(data) >= _LONG]
+    state, lanes = 0xFFFFFFFF, len(data) // lane
     if lanes >= 4:
-        if not _SHIFT:
-            _SHIFT.extend(_lane_shift())
-        grid = np.frombuffer(data, np.uint8, lanes * _LANE).reshape(lanes, _LANE).T
+        grid = np.frombuffer(data, np.uint8, lanes * lane).reshape(lanes, lane).T
         own = np.zeros(lanes, np.uint32)
         for column in grid:
             own = _TABLE[(own ^ column) & 255] ^ (own >> 8)
-        a, b, c, d = _SHIFT
-        for lane in own.tolist():
-            state = a[state & 255] ^ b[state >> 8 & 255] ^ c[state >> 16 & 255] ^ d[state >> 24] ^ lane
-        data = data[lanes * _LANE :]
+        a, b, c, d = _lane_shift(lane)
+        for x in own.tolist():
+            state = a[state & 255] ^ b[state >> 8 & 255] ^ c[state >> 16 & 255] ^ d[state >> 24] ^ x
+        data = data[lanes * lane :]
     for x in data:
         state = _BYTE[(state ^ x) & 255] ^ (state >> 8)
     return state ^ 0xFFFFFFFF
@@ -164,12 +164,8 @@ class Entry:
 
     def group_of(self, record: int) -> Group | None:
         """The last group that begins at or before a record of the segment."""
-        found = None
-        for g in self.groups:
-            if g.start > record:
-                break
-            found = g
-        return found
+        after = bisect_right(self.groups, record, key=lambda g: g.start)
+        return self.groups[after - 1] if after else None
 
 
 @dataclass(frozen=True)
@@ -213,7 +209,7 @@ class Manifest:
 
     def suffix(self, seq: int) -> list[Entry]:
         """Entries with any sequence at or after seq."""
-        return [e for e in self.entries if e.end > seq]
+        return self.entries[bisect_right(self.entries, seq, key=lambda e: e.end) :]
 
     def after(self, seq: int) -> list[Entry]:
         return [e for e in self.entries if e.seq > seq]

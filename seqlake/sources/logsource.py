@@ -1,7 +1,9 @@
 """The log as a Spark data source, format "seqlog": batch and stream reads, and writes.
 
 Options: path (a folder that driver and executors share), start, end (exclusive),
-startSegment, recordsPerBatch, partitionRecords. Each partition is a run of segments.
+startSegment, recordsPerBatch, partitionRecords, minPartitions. Each partition is
+a run of segments; it holds about partitionRecords records at most, and fewer
+where the read would have less than minPartitions partitions otherwise.
 """
 
 from __future__ import annotations
@@ -10,15 +12,20 @@ import secrets
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..plans.ship import ship
 from .codec import Entry, Group, encode_segment
-from .log import Writer, WriterOptions, load, paced_end, records_of, save
+from .log import Writer, WriterOptions, load, paced_end, save, segment_records
 from .store import LocalStore
 
 SCHEMA = "seq long, group_meta binary, data binary, ingest_ts timestamp, segment string"
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+#: Records that a partition has at least, if the log does.
+LEAST = 4096
 
 
 class _Run(InputPartition):
@@ -27,9 +34,10 @@ class _Run(InputPartition):
 
 
 def _runs(options: dict, start: int, end: int) -> list[_Run]:
-    """Partitions: segments with sequences in [start, end), put together up to partitionRecords."""
+    """Partitions: segments with sequences in [start, end), put together up to a number of records."""
     m, _ = load(LocalStore(options["path"]))
-    most = int(options.get("partitionrecords", 100_000))
+    share = -(-(end - start) // int(options.get("minpartitions", 16)))
+    most = min(int(options.get("partitionrecords", 1_000_000)), max(share, LEAST))
     out: list[list[Entry]] = []
     held = 0
     for e in m.suffix(start):
@@ -43,11 +51,22 @@ def _runs(options: dict, start: int, end: int) -> list[_Run]:
     return [_Run(x, start, end) for x in out]
 
 
-def _read(options: dict, run: _Run) -> Iterator[tuple]:
+def _read(options: dict, run: _Run) -> Iterator[pa.RecordBatch]:
+    """A segment's records at a time, as Arrow."""
     store = LocalStore(options["path"])
     for e in run.entries:
-        for r in records_of(store, e, run.start, run.end):
-            yield (r.seq, r.group_meta, r.data, datetime.fromtimestamp(r.ingest_ms / 1000, timezone.utc), r.segment)
+        held = segment_records(store, e)
+        seq = e.seq + np.arange(len(held)) if e.count else np.full(len(held), e.seq)
+        low, high = np.searchsorted(seq, [run.start, run.end])
+        if low == high:
+            continue
+        # Place 0 is for records before the first group.
+        begins = np.array([g.start for g in e.groups], np.int64)
+        group = pa.array(np.searchsorted(begins, np.arange(low, high), "right"))
+        meta = pa.array([b"", *[g.payload for g in e.groups]], pa.binary())
+        came = pa.array([0, *[g.ingest_ms * 1000 for g in e.groups]], pa.int64()).cast(pa.timestamp("us", "UTC"))
+        columns = [pa.array(seq[low:high]), meta.take(group), pa.array(held[low:high], pa.binary()), came.take(group), pa.repeat(pa.scalar(e.location), high - low)]
+        yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
 def _start(options: dict) -> int:
@@ -68,7 +87,7 @@ class _Reader(DataSourceReader):
             end = min(end, paced_end(m, start, int(self.options["recordsperbatch"])))
         return _runs(self.options, start, end) or [_Run([], start, start)]
 
-    def read(self, run: _Run) -> Iterator[tuple]:
+    def read(self, run: _Run) -> Iterator[pa.RecordBatch]:
         return _read(self.options, run)
 
 
@@ -92,7 +111,7 @@ class _StreamReader(DataSourceStreamReader):
             self.last = end["seq"]
         return _runs(self.options, start["seq"], end["seq"])
 
-    def read(self, run: _Run) -> Iterator[tuple]:
+    def read(self, run: _Run) -> Iterator[pa.RecordBatch]:
         return _read(self.options, run)
 
     def commit(self, end: dict) -> None:
@@ -108,7 +127,7 @@ class _Writer(DataSourceWriter):
     """Tasks upload segments; the driver commits them with one manifest write, in order of partitions.
 
     Rows need a binary or string column `data`; `group_meta` binary is optional.
-    Each row is a group. A task that is run again uploads under new names, of
+    Rows in a row with equal group_meta are one group. A task that is run again uploads under new names, of
     which the commit takes only the successful attempt's.
     """
 
@@ -141,7 +160,8 @@ class _Writer(DataSourceWriter):
             if data and size + len(raw) + 4 > most:
                 put()
             meta = bytes(row["group_meta"] or b"") if "group_meta" in self.names else b""
-            groups.append(Group(len(data), now, meta))
+            if not groups or groups[-1].payload != meta:
+                groups.append(Group(len(data), now, meta))
             data.append(raw)
             size += len(raw) + 4
         put()

@@ -219,16 +219,17 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = seen.withColumn("as", kind)
     half = (F.xxhash64("row", F.lit(9)) % 2 == 0).alias("fits")
     # One row a feature vector, kind and half: bounded by the features' values.
-    counts = seen.where("labelled").groupBy(*FEATURES, "as", half).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).toPandas()
-    fits = counts["fits"].to_numpy(bool) if len(counts) else np.zeros(0, bool)
+    counts = sorted(seen.where("labelled").groupBy(*FEATURES, "as", half).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).collect())
+    fits = np.array([r["fits"] for r in counts], bool)
     more = None
     if fits.any() and (~fits).any():
-        x, n, hits = counts[FEATURES].to_numpy(int), counts["n"].to_numpy(float), counts["hits"].to_numpy(float)
+        x, n, hits = (np.array([[r[c] for c in cs] for r in counts]) for cs in (FEATURES, ["n"], ["hits"]))
+        n, hits, kinds = n[:, 0].astype(float), hits[:, 0].astype(float), np.array([r["as"] for r in counts])
         trees = boost(x[fits], n[fits], hits[fits])
         score = sum(RATE * _apply(t, x) for t in trees)
         least = F.lit(float("inf"))
         for k in range(len(KINDS)):
-            own = ~fits & (counts["as"].to_numpy() == k)
+            own = ~fits & (kinds == k)
             least = F.when(F.col("as") == k, F.lit(calibrate(score[own], n[own], hits[own]))).otherwise(least)
         fresh = seen.where(~F.col("hit")).where(score_of(trees) >= least)
         ahead = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..plans.ship import ship
 
 #: Characters (or bytes) of text that a Python worker turns into arrays at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Cells of a pass of the threshold search.
 CELLS = 4096
 

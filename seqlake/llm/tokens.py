@@ -16,8 +16,8 @@ import numpy as np
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_BYTE, END_ID = b"\xff", 0
-#: Pieces that a worker remembers, and the longest that it does.
-KEPT, LONGEST = 700_000, 256
+#: Pieces that a worker remembers in each of two generations, and the longest that it does.
+KEPT, LONGEST = 160_000, 256
 PLAIN = re.compile("[\t-\r -~À-ɏ]*")
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -38,7 +38,9 @@ class Tokens:
         self.ends_sentence = np.zeros(max(table.values()) + 2, bool)
         for raw, i in table.items():
             self.ends_sentence[i] = raw.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n")
+        # Pieces of late and, when those are many, the ones before: what is still in use moves back.
         self.kept: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         powers = np.cumprod(np.full((2, 4096), [[0x100000001B3], [0x1B873593CC9E2D51]], np.uint64), axis=1, dtype=np.uint64)
         self.power1, self.power2 = powers
 
@@ -76,10 +78,11 @@ class Tokens:
             piece = data[a : a + n]
             got = kept.get(piece)
             if got is None:
-                got = self.ids(piece)
+                got = self.before.get(piece) or self.ids(piece)
                 if n <= LONGEST:
                     if len(kept) >= KEPT:
-                        kept.clear()
+                        self.before, self.kept = kept, {}
+                        kept = self.kept
                     kept[piece] = got
             found.append(got)
         many = np.fromiter(map(len, found), np.int64, len(found)) // 4

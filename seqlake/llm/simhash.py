@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, settle, with_columns
+from .nearcopies import near_copies
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Blocks of the 64 bits as (lowest bit, width).
@@ -220,14 +221,15 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id.
+    """docs without the documents whose component of near copies (nearcopies) has a smaller doc_id.
 
     Rows with a null doc_id stay. Rows that repeat a doc_id are copies of one
     document: one of them stays.
     """
-    found = settle(near_duplicates(docs))
-    drop = settle(found.where("doc_id != component_id").select(F.col("doc_id").alias("_llm_gone")).distinct())
-    kept = docs.join(drop, docs["doc_id"] == drop["_llm_gone"], "left_anti")
+    numbered = settle(docs.withColumn("_llm_row", F.monotonically_increasing_id()))
+    found = settle(near_copies(numbered, "_llm_row"))
+    drop = settle(found.where("doc_id != best.doc_id").select(F.col("doc_id").alias("_llm_gone")).distinct())
+    kept = numbered.join(drop, numbered["doc_id"] == drop["_llm_gone"], "left_anti").drop("_llm_row")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
         return kept

@@ -112,6 +112,29 @@ def test_simhash_odd(spark, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def altered(words, n, seed):
+    """words with n of them replaced, evenly apart, as a text."""
+    out = list(words)
+    for k in range(n):
+        out[len(out) * (2 * k + 1) // (2 * n)] = f"new{seed}x{k}"
+    return " ".join(out)
+
+
+def test_near_copies_by_jaccard(spark):
+    rows, want = [], {}
+    for base in range(12):
+        own = [f"w{base}x{i}" for i in range(200)]
+        # 1, 2 and 4 words of 200: similarities 0.95, 0.91 and 0.81; 8 words: 0.66.
+        for k, (n, linked) in enumerate([(0, True), (1, True), (2, True), (4, True), (8, False)]):
+            rows.append((base * 10 + k, altered(own, n, k)))
+            want[base * 10 + k] = not linked or not k
+    crowd = [f"c{i}" for i in range(200)]
+    rows += [(1000 + k, altered(crowd, 2, k)) for k in range(40)]  # a bucket of more than SMALL sets
+    want |= {1000 + k: not k for k in range(40)}
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, stays in want.items() if stays)
+
+
 def vector_rows(n=700, dims=16, seed=3):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(v) for v in rng.standard_normal(dims).astype(np.float32)]) for i in range(n)]

@@ -1,7 +1,7 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with templates.
 
 DataFrame operations only. A template matches a block of text (a sentence or
-line) when the block has at least THRESHOLD of the template's words. The join
+paragraph) when the block has at least THRESHOLD of the template's words. The join
 is exact and filters by
 
 - length: a block needs as many template words as the threshold asks for;
@@ -25,8 +25,9 @@ from .common import settle
 
 THRESHOLD = 0.9
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A block ends after a sentence's end or at a line break.
-BLOCK_END = r"(?<=[.!?;])[\x20\x09-\x0D]+|[\x0A-\x0D]+"
+BREAK = r"(?:\x0D\x0A|\x0D(?!\x0A)|[\x0A-\x0C])"
+#: A block ends after a sentence's end or at a blank line; a single line break is white space, as notices are wrapped.
+BLOCK_END = rf"(?<=[.!?;])[\x20\x09-\x0D]+|{BREAK}[\x20\x09]*{BREAK}[\x20\x09-\x0D]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases and their labels.

@@ -489,3 +489,14 @@ def test_licenses(spark, sf, odd, none):
                         found.add(label)
             assert g.labels == ",".join(sorted(found)) and 0 <= g.score <= 1 and (g.score > 0) == bool(found)
     assert licenses.op10(spark, none).count() == 0
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_licenses_wrapped(spark, end):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "Redistribution and use in source and binary forms, with or without\n \nmodification, are permitted provided that",
+    ]
+    docs = spark.createDataFrame([(i, t.replace("\n", end)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.op10(spark, docs).collect()} == {0: "mit", 1: "bsd", 2: ""}

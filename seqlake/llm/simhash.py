@@ -221,20 +221,10 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component of near copies (nearcopies) has a smaller doc_id.
-
-    Rows with a null doc_id stay. Rows that repeat a doc_id are copies of one
-    document: one of them stays.
-    """
+    """One row of each component of near copies (nearcopies): that with the smallest doc_id, null ids last, then the first row."""
     numbered = settle(docs.withColumn("_llm_row", F.monotonically_increasing_id()))
-    found = settle(near_copies(numbered, "_llm_row"))
-    drop = settle(found.where("doc_id != best.doc_id").select(F.col("doc_id").alias("_llm_gone")).distinct())
-    kept = numbered.join(drop, numbered["doc_id"] == drop["_llm_gone"], "left_anti").drop("_llm_row")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionAll(kept.where("doc_id is null"))
+    drop = settle(near_copies(numbered, "_llm_row").where("_llm_row != best.row").select("_llm_row"))
+    return numbered.join(drop, "_llm_row", "left_anti").drop("_llm_row")
 
 
 def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -135,6 +135,14 @@ def test_near_copies_by_jaccard(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, stays in want.items() if stays)
 
 
+def test_keep_one_picks_rows(spark):
+    a, b, c, d = ([f"{x}{i}" for i in range(200)] for x in "abcd")
+    rows = [(5, altered(a, 0, 0)), (5, altered(b, 0, 0)), (9, altered(b, 1, 0)), (3, altered(a, 1, 0))]
+    rows += [(None, altered(c, k, 0)) for k in (0, 0, 1)] + [(None, altered(d, 0, 0)), (7, altered(d, 1, 0))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "c"), (3, "a"), (5, "b"), (7, "d")]
+
+
 def vector_rows(n=700, dims=16, seed=3):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(v) for v in rng.standard_normal(dims).astype(np.float32)]) for i in range(n)]

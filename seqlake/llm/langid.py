@@ -219,16 +219,16 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, switch: float = SWITCH) -> np.n
         best = (carry[:, None, text] + through[:, :, own]).max(axis=0)
         carry[:, text] = best - best.max(axis=0)
     # Forward inside the blocks with what entered, then back from the last block of each text.
-    back = np.zeros((BLOCK, n_lang, nb), np.int8)
+    back = np.zeros((BLOCK, n_lang, nb), np.int32)
     now = enter
-    own_lang = np.arange(n_lang, dtype=np.int8)[:, None]
+    own_lang = np.arange(n_lang, dtype=np.int32)[:, None]
     for t in range(BLOCK):
-        top = now.argmax(axis=0).astype(np.int8)
+        top = now.argmax(axis=0).astype(np.int32)
         jump = now.max(axis=0) - stay
         move = (jump > now) & real[t]
         back[t] = np.where(move, top, own_lang)
         now = np.where(move, jump, now) + step[:, t]
-    path = np.zeros((BLOCK, nb), np.int8)
+    path = np.zeros((BLOCK, nb), np.int32)
     final = now.argmax(axis=0)
     after = np.zeros(len(first), np.int64)
     for k in range(len(edges) - 2, -1, -1):

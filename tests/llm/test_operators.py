@@ -508,3 +508,11 @@ def test_licenses_wrapped(spark, end):
     ]
     docs = spark.createDataFrame([(i, t.replace("\n", end)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.labels for r in licenses.op10(spark, docs).collect()} == {0: "mit", 1: "bsd", 2: ""}
+
+
+def test_langid_many_languages():
+    rng = np.random.default_rng(4)
+    want = np.repeat(rng.permutation(200), 3)
+    scores = np.zeros((200, len(want)), np.float32)
+    scores[want, np.arange(len(want))] = 9
+    assert langid.viterbi(scores, np.zeros(len(want), np.int64), 2.5).tolist() == want.tolist()

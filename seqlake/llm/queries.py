@@ -32,4 +32,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": urls.OP4_SQL, "op5_topk": urls.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
+    return {"op4_url_filter": urls.OP4_SQL, "op5_topk": vectors.OP5_SQL, "op8_mixing": mixing.OP8_SQL}

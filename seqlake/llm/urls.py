@@ -147,14 +147,3 @@ hit AS (
 SELECT h.page_id, h.host, CAST(h.fetched_on AS VARCHAR) AS fetched_on, coalesce(hits, 0) AS hits, coalesce(lists, '') AS lists, coalesce(NOT fine, false) AS blocked
 FROM h LEFT JOIN hit ON h.page_id = hit.page_id AND h.url = hit.url
 """
-
-OP5_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 100 = 0 AND len(q.x) = len(c.x))
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
-"""

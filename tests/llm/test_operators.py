@@ -147,34 +147,78 @@ def vector_rows(n=700, dims=16, seed=3):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(v) for v in rng.standard_normal(dims).astype(np.float32)]) for i in range(n)]
     rows += [(n + i, rows[0][1]) for i in range(60)]  # many ties
-    return rows + [(2000, None), (2020, []), (2040, [1.0, None]), (2060, [float("nan")] * dims), (2080, [float("inf")] * dims), (2100, [0.0] * dims), (None, [1.0] * dims), (20, rows[20][1])]
+    rows += [(20, rows[20][1]), (100, rows[33][1]), (3, rows[44][1])]  # ids that are there already
+    return rows + [(2000, None), (2020, []), (2040, [1.0, None]), (2060, [float("nan")] * dims), (2080, [float("inf")] * dims), (2100, [0.0] * dims), (None, [1.0] * dims), (2200, [1.0, 2.0])]
 
 
+@pytest.mark.parametrize("shard", [150, 700])
 @pytest.mark.parametrize("exact", [True, False])
-def test_vectors(spark, exact, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD", 16 * 150)
+def test_vectors(spark, exact, shard, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 16 * shard)
     monkeypatch.setattr(vectors, "BLOCK", 16 * 20)
     monkeypatch.setattr(vectors, "LEAF", 16)
     rows = vector_rows()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("dim", F.lit("x"))
-    good = {i: np.array(v, float) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and (exact or any(v))}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("dim", F.lit("x")).repartition(3)
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and (exact or any(v))]
     got = (vectors.op5 if exact else vectors.op2)(spark, df).collect()
     k, step = (10, 100) if exact else (20, 20)
+    f = (lambda v: np.floor(1024 * v)) if exact else (lambda v: v)
     hit = total = 0
-    for q in [i for i in good if i % step == 0]:
-        f = (lambda v: np.floor(1024 * v)) if exact else (lambda v: v)
-        score = {i: float(f(good[q]) @ f(v)) for i, v in good.items() if i != q and len(v) == len(good[q])}
-        want = sorted(score, key=lambda i: (-round(score[i], 9), i))[:k]
-        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
-        assert [r["rank"] for r in mine] == list(range(1, len(want) + 1))
-        assert all(abs(r.score - score[r.vec_id]) < 1e-9 for r in mine)
+    for q in sorted({i for i, _ in good if i % step == 0}):
+        want = []  # of every row with this id
+        for at, (i, v) in enumerate(good):
+            if i == q:
+                score = [(-round(float(f(v) @ f(w)), 9), j) for b, (j, w) in enumerate(good) if b != at and len(w) == len(v)]
+                want += [(n, *x) for n, x in enumerate(sorted(score)[:k], 1)]
+        mine = sorted((r["rank"], -round(r.score, 9), r.vec_id) for r in got if r.query_id == q)
+        assert [r[0] for r in mine] == sorted(r[0] for r in want)
         if exact:
-            assert [r.vec_id for r in mine] == want
-        hit, total = hit + len(set(want) & {r.vec_id for r in mine}), total + len(want)
+            assert mine == sorted(want)
+        hit, total = hit + len({x[1:] for x in want} & {x[1:] for x in mine}), total + len({x[1:] for x in want})
     assert hit >= (1.0 if exact else 0.9) * total
     assert (vectors.op5 if exact else vectors.op2)(spark, df.limit(0)).count() == 0
 
 
+def clustered(n=10_000, dims=64, centres=50, noise=0.3):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((centres, dims))[rng.integers(0, centres, n)] + noise * rng.standard_normal((n, dims))
+    return (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("noise, exact_share, share", [(0.3, 0.5, 0.1), (100.0, 1.0, 0.7)])
+def test_vectors_share_scored_and_recall(noise, exact_share, share):
+    """Few candidates are scored where vectors have clusters; vectors without any leave the exact search nothing to leave out."""
+    x = clustered(noise=noise)
+    ids = np.arange(len(x))
+    q, y = ids[::100], np.floor(x * 1024)
+    best = vectors.search_exact(vectors.Side(y, ids, ids), vectors.Side(y[q], q, q), np.full(len(q), -np.inf), 10)
+    score = (y[q] @ y.T).astype(np.int64)
+    score[np.arange(len(q)), q] = np.iinfo(np.int64).min
+    assert (best.id == np.lexsort((np.broadcast_to(ids, score.shape), -score.astype(float)))[:, :10]).all()
+    assert best.scored.mean() <= exact_share * len(x)
+    best = vectors.search_projected(vectors.Side(x, ids, ids), vectors.Side(x[q], q, q), np.full(len(q), -np.inf), 20)
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -9
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(want, best.id)]) >= 0.95 * 20
+    assert best.scored.mean() <= share * len(x)
+
+
+def test_vectors_leave_shards_out(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 64 * 1000)
+    x = clustered(noise=0.2)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = vectors.nearest(df, 10, F.col("vec_id") % 100 == 0, exact=True).toPandas()
+    assert got.groupby("query_id").scored.first().mean() < 0.5 * len(x)
+    got = vectors.op2(spark, df).toPandas()
+    assert got.groupby("query_id").scored.first().mean() < 0.1 * len(x)
+    y = np.floor(x * 1024)
+    score = (y[::100] @ y.T).astype(np.int64)
+    score[np.arange(100), np.arange(0, 10_000, 100)] = -(2**62)
+    exact = vectors.op5(spark, df).toPandas().sort_values(["query_id", "rank"])
+    assert exact.vec_id.tolist() == np.lexsort((np.broadcast_to(np.arange(10_000), score.shape), -score.astype(float)))[:, :10].ravel().tolist()
+
+
 def test_exact_scores_of_huge_components():
     q = np.floor(np.array([[3e15, -1e15]]))
     assert vectors.exact_scores(q, q).tolist() == [[min(2**63 - 1, 10**31)]]

@@ -2,16 +2,17 @@
 
 The documents of a partition, in the order in which they are read, are one
 stream of ids, each document followed by id 0. Windows of at most WINDOW ids
-are cut from it at document ends (free), sentence ends (SENTENCE) or, where 16
-ids have neither, inside a sentence (INSIDE). A cut's penalty is stated in ids
-of padding; the windows chosen minimise padding plus penalties over the stream:
+are cut from it at document ends (free) and sentence ends (SENTENCE); inside a
+sentence (INSIDE) only where it is longer than a window. A cut's penalty is
+stated in ids of padding; the windows chosen minimise padding plus penalties:
 
     best(i) = min over j with at(i) - at(j) <= WINDOW of best(j) + WINDOW - (at(i) - at(j)) + penalty(i)
 
 best(j) + at(j) is kept in a monotone queue, so each cut enters and leaves it once.
-Streams are worked on in stretches of STRETCH ids; the last window of a stretch
-is put before the next, so only a partition's last window is cut short. A
-partition holds no more than a stretch and the text of one batch.
+The minimum is over a stretch of at least STRETCH ids and not over a whole
+partition, so that memory is bounded: the last window of a stretch is put
+before the next, and only a partition's last window is cut short. A partition
+holds no more than a stretch and the text of one batch.
 """
 
 from __future__ import annotations
@@ -32,24 +33,22 @@ from .common import chunks
 
 WINDOW, SENTENCE, INSIDE = 1024, 1, 5
 STRETCH = 1 << 20
-#: Ids between two sentence cuts at least, and between any two at most.
-CLOSE, APART = 8, 16
+#: Ids between two places inside a sentence that is longer than a window.
+APART = 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def cuts(ids: np.ndarray, doc_end: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cuts(ids: np.ndarray, doc_end: np.ndarray, kit: tokens.Tokens, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Places after which a window may end, and their penalties; the last document's end is the last place."""
-    n = len(ids)
-    sentence = np.flatnonzero(ends_sentence[ids]) + 1
-    sentence = sentence[np.r_[True, sentence[1:] // CLOSE != sentence[:-1] // CLOSE]] if len(sentence) else sentence
-    penalty = np.full(n + 1, -1, np.int64)
-    penalty[sentence] = SENTENCE
+    penalty = np.full(len(ids) + 1, -1, np.int64)
+    follows = np.r_[kit.space[ids[1:]], True]
+    penalty[np.flatnonzero(kit.line[ids] | kit.mark[ids] & follows) + 1] = SENTENCE
     penalty[doc_end] = 0
-    used = np.zeros(n // APART + 1, bool)
-    used[np.flatnonzero(penalty >= 0) // APART] = True
-    bare = np.flatnonzero(~used) * APART
-    penalty[bare[bare > 0]] = INSIDE
+    at = np.flatnonzero(penalty[1:] >= 0) + 1
+    before = np.r_[0, at[:-1]]
+    for k in np.flatnonzero(at - before > window):
+        penalty[before[k] + APART : at[k] : APART] = INSIDE
     at = np.flatnonzero(penalty[1:] >= 0) + 1
     return at, penalty[at]
 
@@ -96,7 +95,7 @@ class _Stream:
         """Pieces of all windows of the stretch; of all but the last unless the stream ends."""
         if not len(self.ids):
             return None
-        at, penalty = cuts(self.ids, self.begin + self.size, self.kit.ends_sentence)
+        at, penalty = cuts(self.ids, self.begin + self.size, self.kit)
         ends = np.array(choose(at.tolist(), penalty.tolist()), np.int64)
         if not last:
             ends = ends[:-1]

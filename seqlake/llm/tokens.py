@@ -4,7 +4,8 @@ A text is cut before each single space that follows something other than white
 space: the pre-tokenizer cuts there as well, so the pieces' ids put together
 are the text's. Pieces recur, so a worker keeps the ids of those it has met.
 The vocabulary is read from two files of the same merges; pieces of ASCII and
-Latin letters go to the faster library, all others to `tokenizers`.
+Latin letters go to the faster library, all others to `tokenizers`. The string
+of an added token is that token wherever it stands, as a plain call has it.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import numpy as np
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_BYTE, END_ID = b"\xff", 0
+#: Stands for an added token's string; no UTF-8 text has this byte or END_BYTE.
+ADDED_BYTE = b"\xfe"
 #: Pieces that a worker remembers in each of two generations, and the longest that it does.
 KEPT, LONGEST = 160_000, 256
 PLAIN = re.compile("[\t-\r -~À-ɏ]*")
 
-_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_K = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
 
@@ -31,23 +34,33 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(vocabulary)
-        self.slow.encode_special_tokens = True
+        added = {i: t.content for i, t in self.slow.get_added_tokens_decoder().items()}
+        if len(added) != 1:
+            raise ValueError("a vocabulary with one added token is expected")
+        ((self.added_id, content),) = added.items()
+        self.added = content.encode()
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.ends_sentence = np.zeros(max(table.values()) + 2, bool)
+        most = max(max(table.values()), self.added_id) + 1
+        #: Whether an id ends in a mark that may end a sentence, ends in a line break, begins with white space.
+        self.mark, self.line, self.space = (np.zeros(most, bool) for _ in range(3))
         for raw, i in table.items():
-            self.ends_sentence[i] = raw.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n")
+            self.mark[i] = raw.rstrip(b"\"')] ")[-1:] in (b".", b"!", b"?")
+            self.line[i] = raw.rstrip(b" ")[-1:] == b"\n"
+            self.space[i] = raw[:1].isspace()
+        self.space[[END_ID, self.added_id]] = True
         # Pieces of late and, when those are many, the ones before: what is still in use moves back.
         self.kept: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        powers = np.cumprod(np.full((2, 4096), [[0x100000001B3], [0x1B873593CC9E2D51]], np.uint64), axis=1, dtype=np.uint64)
-        self.power1, self.power2 = powers
+        self.power = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
 
     def ids(self, piece: bytes) -> bytes:
         """Little-endian 32-bit ids of one piece."""
         if piece == END_BYTE:
             return np.array([END_ID], "<u4").tobytes()
+        if piece == ADDED_BYTE:
+            return np.array([self.added_id], "<u4").tobytes()
         text = piece.decode("utf-8", "replace")
         got = self.fast.encode_ordinary(text) if PLAIN.fullmatch(text) else self.slow.encode(text, add_special_tokens=False).ids
         return np.array(got, "<u4").tobytes()
@@ -55,21 +68,25 @@ class Tokens:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END_ID, and the number of ids of each."""
         data = END_BYTE.join(texts) + END_BYTE
+        if self.added in data:
+            data = data.replace(self.added, ADDED_BYTE)
         raw = np.frombuffer(data, np.uint8)
         p1 = np.r_[np.uint8(255), raw[:-1]]
         p2 = np.r_[np.uint8(255), p1[:-1]]
         p3 = np.r_[np.uint8(255), p2[:-1]]
         solid = np.where(p1 < 128, ~_SPACE[p1], ((p2 >= 0xC3) & (p2 < 0xE0)) | ((p2 >= 0x80) & (p2 < 0xC0) & (p3 >= 0xE4)))
-        start = np.flatnonzero(((raw == 32) & solid) | (raw == 255) | (p1 == 255))
+        start = np.flatnonzero(((raw == 32) & solid) | (raw >= 254) | (p1 >= 254))
         length = np.diff(np.r_[start, len(raw)])
-        place = (np.arange(len(raw)) - np.repeat(start, length)) % 4096
-        value = raw.astype(np.uint64) + np.uint64(1)
-        one = np.add.reduceat(value * self.power1[place], start) * _K1 + length.astype(np.uint64)
-        two = np.add.reduceat(value * self.power2[place], start) * _K2 + length.astype(np.uint64) * _K1
-        _, first, which = np.unique(one, return_index=True, return_inverse=True)
-        same = (two == two[first][which]) & (length <= 4096)
-        odd = np.flatnonzero(~same)  # a collision, or too long for the hash: a piece of its own
-        if len(odd):
+        place = np.arange(len(raw)) - np.repeat(start, length)
+        hashed = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * self.power[place % 4096], start) * _K + length.astype(np.uint64)
+        _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+        # Pieces of one hash are one piece where their bytes are equal; any other stands for itself.
+        model = start[first][which]
+        same = length[first][which] == length
+        model[~same] = start[~same]
+        same &= np.logical_and.reduceat(raw[np.repeat(model, length) + place] == raw, start)
+        if not same.all():
+            odd = np.flatnonzero(~same)
             which = which.copy()
             which[odd] = len(first) + np.arange(len(odd))
             first = np.r_[first, odd]

@@ -313,8 +313,11 @@ def test_tokens_equal_the_library(spark, sf):
 
     kit = tokens.Tokens(P.path(tokens.VOCABULARY), P.path(tokens.RANKS), P.PATTERN)
     slow = Tokenizer.from_file(P.path(tokens.VOCABULARY))
-    slow.encode_special_tokens = True
-    texts = ["", " ", "  a  b  c  d \n\n e", "don't  STOP 12 ab12", "漢字 テスト 😀 x", "a" * 5000 + " b", "　 x\t y \x1f z", "<|endoftext|> q", LONG] + [r.text for r in table(spark, sf, "documents").collect()]
+    # Thue-Morse words and their complements agree in many polynomial hashes.
+    morse = ["".join("ab"[bin(i).count("1") % 2] for i in range(n)) for n in (1024, 2048, 4096)]
+    morse += [t.translate(str.maketrans("ab", "ba")) for t in morse]
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y z", "a  <|endoftext|>  b\n<|endoftext|>\n", "é<|endoftext|>漢字<|endoftext", "<|endoftext|>>"]
+    texts = [*morse, " ".join(morse), *special, "", " ", "  a  b  c  d \n\n e", "don't  STOP 12 ab12", "漢字 テスト 😀 x", "a" * 5000 + " b", "　 x\t y \x1f z", "<|endoftext|> q", LONG] + [r.text for r in table(spark, sf, "documents").collect()]
     raw = [t.encode() for t in texts]
     for _ in range(2):  # the second time from what is kept
         ids, size = kit.encode(raw)
@@ -366,6 +369,29 @@ def test_packing_cuts_are_the_cheapest():
         assert cost == best[at[-1]] and prev == at[-1]
 
 
+def test_packing_cuts_at_boundaries(spark, sf):
+    """Every place where a window ends is a document's or sentence's end, but in sentences over a window's length."""
+    kit = tokens.tokens(*_paths())
+    texts = [(r.text or "").encode() for r in table(spark, sf, "documents").collect()]
+    long_ = ("x y " * 2000).encode()
+    ids, size = kit.encode([*texts, long_, *texts])
+    ends = np.cumsum(size)
+    at, penalty = packing.cuts(ids, ends, kit)
+    assert at[-1] == len(ids) and np.diff(np.r_[0, at]).max() <= packing.WINDOW
+    assert set(at[penalty == 0]) == set(ends)
+    inside = at[penalty == packing.INSIDE]
+    free = np.r_[0, at[penalty < packing.INSIDE]]
+    k = np.searchsorted(free, inside)
+    assert len(inside) and ((free[k] - free[k - 1]) > packing.WINDOW).all()
+    marks = 0
+    for t in texts:
+        own, _ = kit.encode([t])
+        marks += sum(bool(re.search(r"""([.!?]["')\] ]*|\n *)$""", kit.fast.decode(own[: i + 1].tolist()[-8:]))) for i in range(len(own) - 1) if own[i + 1] == 0 or kit.space[own[i + 1]] or kit.line[own[i]])
+    assert abs((penalty == packing.SENTENCE).sum() - 2 * marks) <= 2 * len(texts) + 0.02 * marks
+    cut = packing.choose(at.tolist(), penalty.tolist())
+    assert 1 - len(ids) / 1024 / len(cut) < 0.05
+
+
 def test_packing_in_stretches(monkeypatch, spark, sf):
     whole = packing.op7(spark, table(spark, sf, "documents")).agg(F.sum("length"), F.count_distinct("doc_id")).first()
     monkeypatch.setattr(packing, "STRETCH", 5000)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,6 +42,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """df with its rows' places from 0 in an order; the sort is by range and ranges are numbered apart, so no task holds all rows."""
+    ranged = settle(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    ahead = ranged.groupBy("_range").count()
+    # One row a range.
+    ahead = ahead.withColumn("_ahead", F.sum("count").over(Window.orderBy("_range")) - F.col("count")).drop("count")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(F.broadcast(ahead), "_range").withColumn(name, F.col("_place") + F.col("_ahead")).drop("_range", "_place", "_ahead")
+
+
 def finite_vector(c: Column) -> Column:
     """Whether an array column is non-null, non-empty, without null, NaN or infinite components."""
     bad = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -438,23 +438,72 @@ def test_mixing_targets(spark):
     assert {r.source: r.target for r in got} == pytest.approx({s: held.get(s, weight[s] * level) for s in names})
 
 
-def test_mixing_quotas_are_the_highest_quotients(spark):
-    parts = [3000.0, 1234.5, 77.0, 5.0, 0.0, 40_000.0]
-    total = int(sum(parts))
-    got = {r.part: r.quota for r in mixing.quotas(spark.createDataFrame([(p,) for p in parts], "part double"), total).collect()}
-    seats = dict.fromkeys(parts, 0)
+@pytest.mark.parametrize("parts", [[3000.0, 1234.5, 77.0, 5.0, 0.0, 40_000.0], [320.0] * 7, [96.0, 32.0, 96.0, 32.0, 160.0, 40.0], [1 / 3, 1.0, 7.0, 49.0]])
+def test_mixing_quotas_are_the_highest_quotients(spark, parts):
+    total = int(sum(parts)) - 70 if len(parts) == 7 else int(sum(parts))
+    rows = [(None if i == 0 else f"s{i % 3}", i, p) for i, p in enumerate(parts)]
+    got = {r.shard: r.quota for r in mixing.quotas(spark.createDataFrame(rows, "source string, shard long, part double"), total).collect()}
+    seats = dict.fromkeys(range(len(parts)), 0)
     for _ in range(round(total / mixing.BLOCK)):
-        seats[max(parts, key=lambda p: p / (2 * seats[p] + 1))] += 1
+        best = min((r for r in rows if r[2] > 0), key=lambda r: (-r[2] / (2 * seats[r[1]] + 1), r[0] is None, r[0] or "", r[1]))
+        seats[best[1]] += 1
     assert got == seats
 
 
+def test_mixing_by_brute_force(spark, monkeypatch):
+    """Quotas, passes and cuts of a small corpus, rows that repeat included."""
+    monkeypatch.setattr(mixing, "SHARD", 3000)
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 400))), [None, "a", "b", "c"][int(rng.integers(0, 4))]) for i in range(60)] + [(7, "one two three " * 40, "c")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = sorted((r.doc_id, r["size"], r.taken) for r in mixing.op8(spark, docs).collect())
+    again = sorted((r.doc_id, r["size"], r.taken) for r in mixing.op8(spark, docs.repartition(3)).collect())
+    other = sorted((r.doc_id, r["size"], r.taken) for r in mixing.mix(docs, seed="other").collect())
+    assert got == again and got != other
+    size = {s: sum(len(words(t)) for _, t, x in rows if x == s) for s in (None, "a", "b", "c")}
+    goal = {r.source_size: r.target for r in mixing.op8(spark, docs).collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    shards = {}
+    for d, t, s in rows:
+        o = md5(f"mix:{d}:{md5(t)}")
+        shards.setdefault((s is None, s or "", int(o[:8], 16) % -(-size[s] // 3000)), []).append((o, d, len(words(t)), s))
+    part = {k: goal[size[v[0][3]]] * sum(x[2] for x in v) / size[v[0][3]] for k, v in shards.items()}
+    seats = dict.fromkeys(part, 0)
+    for _ in range(round(sum(size.values()) / mixing.BLOCK)):
+        seats[min(part, key=lambda k: (-part[k] / (2 * seats[k] + 1), k))] += 1
+    want = []
+    for k, v in shards.items():
+        full = sum(x[2] for x in v)
+        left = min(32 * seats[k], 3 * full)
+        passes, left = divmod(left, full)
+        for o in sorted({x[0] for x in v}):
+            same = [x for x in v if x[0] == o]
+            extra = min(left, sum(x[2] for x in same))
+            want += [(x[1], x[2], passes * x[2] + extra // len(same)) for x in same]
+            left -= extra
+    assert got == sorted(want)
+    cut = mixing.remix(docs).where("text is not null").collect()
+    assert sum(len(words(r.text)) for r in cut) == sum(x[2] for x in want)
+
+
+def test_first_words(spark):
+    texts = ["a", "  a\n\n b\tc ", "x" * 50 + " y", "\x0b one \x0c two", "\u3000a b\u00a0c d"]
+    df = spark.createDataFrame([(t, n) for t in texts for n in range(1, len(words(t)) + 1)], "text string, n long")
+    for r in df.withColumn("got", mixing.first_words(F.col("text"), F.col("n"))).collect():
+        ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", r.text)]
+        assert r.got == r.text[: ends[r.n - 1]]
+
+
 def test_remix_follows_the_mix(spark, sf, odd, none):
     docs = table(spark, sf, "documents")
     want = {r.source: r.n for r in mixing.op8(spark, docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("n")).collect()}
     out = mixing.remix(docs)
     assert out.columns == docs.columns
-    assert {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()} == want
+    assert {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()} == {k: v for k, v in want.items() if v}
     assert out.where("n_chars != length(text)").count() == 0
+    text = {r.doc_id: r.text for r in docs.collect()}
+    partial = [r for r in out.collect() if r.text != text[r.doc_id]]
+    assert all(text[r.doc_id].startswith(r.text) for r in partial) and 0 < len(partial) <= len(want)
     assert mixing.remix(odd).select(F.sum(mixing.n_words(F.col("text")))).first()[0] == mixing.op8(spark, odd).agg(F.sum("taken")).first()[0]
     assert mixing.remix(odd).columns == odd.columns and mixing.remix(none).count() == 0
 

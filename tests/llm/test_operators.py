@@ -608,25 +608,64 @@ def test_licenses(spark, sf, odd, none):
             assert (g.n_words, g.n_base, g.base_labels) == (len(w), len(at), ",".join(sorted({x[1] for x in at})))
             assert (g.first_word, g.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
             found = set(filter(None, g.base_labels.split(",")))
-            for block in re.split(licenses.BLOCK_END, r.text or ""):
-                own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(block)))
-                for text, label in licenses.TEMPLATES:
-                    t = set(text.split())
-                    if len(t & own) >= licenses.THRESHOLD * len(t) - 1e-9:
+            for text, label in licenses.TEMPLATES:
+                t = text.split()
+                c, pairs = next(c for c in licenses.CAPS if len(t) <= c), set(zip(t, t[1:]))
+                for at in range(0, len(w), c):
+                    own = w[at : at + 2 * c]
+                    if len(set(t) & set(own)) >= licenses.THRESHOLD * len(set(t)) - 1e-9 and len(pairs & set(zip(own, own[1:]))) >= licenses.IN_ORDER * len(pairs) - 1e-9:
                         found.add(label)
             assert g.labels == ",".join(sorted(found)) and 0 <= g.score <= 1 and (g.score > 0) == bool(found)
     assert licenses.op10(spark, none).count() == 0
 
 
-@pytest.mark.parametrize("end", ["\n", "\r\n"])
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n * ", "\n# "])
 def test_licenses_wrapped(spark, end):
-    texts = [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
-        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
-        "Redistribution and use in source and binary forms, with or without\n \nmodification, are permitted provided that",
-    ]
-    docs = spark.createDataFrame([(i, t.replace("\n", end)) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert {r.doc_id: r.labels for r in licenses.op10(spark, docs).collect()} == {0: "mit", 1: "bsd", 2: ""}
+    filler = "some words of prose that say nothing at all about it " * 30
+    texts = [(MIT, "mit"), (BSD, "bsd"), (APACHE, "apache-2"), (GPL, "gpl,gpl-3"), (GPL.replace("version 3", "version 2"), "gpl,gpl-2")]
+    rows = [(i, f"{filler[: 7 * i * 13]} {t}\n{filler}".replace("\n", end), x) for i, (t, x) in enumerate(texts)]
+    rows += [(10 + i, filler + " ".join(sorted(t.split())) + filler, "") for i, (t, _) in enumerate(texts)]  # the words, not in order
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    assert {r.doc_id: r.labels for r in licenses.op10(spark, docs).collect()} == {r[0]: r[2] for r in rows}
 
 
 def test_langid_many_languages():

@@ -2,10 +2,11 @@
 
 A text is cut before each single space that follows something other than white
 space: the pre-tokenizer cuts there as well, so the pieces' ids put together
-are the text's. Pieces recur, so a worker keeps the ids of those it has met.
-The vocabulary is read from two files of the same merges; pieces of ASCII and
-Latin letters go to the faster library, all others to `tokenizers`. The string
-of an added token is that token wherever it stands, as a plain call has it.
+are the text's. Pieces recur: of some texts each different piece is encoded
+once. The vocabulary is read from two files of the same merges; pieces of ASCII
+and Latin letters go to the faster library, put together as one text, all
+others to `tokenizers`. The string of an added token is that token wherever it
+stands, as a plain call has it.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_BYTE, END_ID = b"\xff", 0
 #: Stands for an added token's string; no UTF-8 text has this byte or END_BYTE.
 ADDED_BYTE = b"\xfe"
-#: Pieces that a worker remembers in each of two generations, and the longest that it does.
-KEPT, LONGEST = 160_000, 256
-PLAIN = re.compile("[\t-\r -~À-ɏ]*")
+#: Pieces for `tokenizers` that a worker remembers, and the longest that it does.
+KEPT, LONGEST = 100_000, 256
+PLAIN = re.compile("[\t-\r -~À-ȿ]*")
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
+#: Bytes that the UTF-8 of PLAIN's characters doesn't have.
+_STRANGE = np.ones(256, bool)
+_STRANGE[[*range(9, 14), *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = False
 
 
 class Tokens:
@@ -50,20 +54,36 @@ class Tokens:
             self.line[i] = raw.rstrip(b" ")[-1:] == b"\n"
             self.space[i] = raw[:1].isspace()
         self.space[[END_ID, self.added_id]] = True
-        # Pieces of late and, when those are many, the ones before: what is still in use moves back.
-        self.kept: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.bytes_of = np.zeros(most, np.int64)
+        for raw, i in table.items():
+            self.bytes_of[i] = len(raw)
+        self.kept: dict[bytes, np.ndarray] = {}
         self.power = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
 
-    def ids(self, piece: bytes) -> bytes:
-        """Little-endian 32-bit ids of one piece."""
+    def ids(self, piece: bytes) -> np.ndarray:
+        """The ids of one piece."""
         if piece == END_BYTE:
-            return np.array([END_ID], "<u4").tobytes()
+            return np.array([END_ID], "<u4")
         if piece == ADDED_BYTE:
-            return np.array([self.added_id], "<u4").tobytes()
+            return np.array([self.added_id], "<u4")
         text = piece.decode("utf-8", "replace")
-        got = self.fast.encode_ordinary(text) if PLAIN.fullmatch(text) else self.slow.encode(text, add_special_tokens=False).ids
-        return np.array(got, "<u4").tobytes()
+        if PLAIN.fullmatch(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        got = self.kept.get(piece)
+        if got is None:
+            got = np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+            if len(piece) <= LONGEST:
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                self.kept[piece] = got
+        return got
+
+    def together(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their number by piece, of plain pieces that end at `ends` in data. Each begins with a space and
+        ends in something else, so that the library cuts them apart again when they are one text."""
+        got = self.fast.encode_to_numpy(data.decode(), disallowed_special=()).astype("<u4")
+        stop = np.searchsorted(np.cumsum(self.bytes_of[got]), ends, "right")
+        return got, np.diff(np.r_[0, stop])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END_ID, and the number of ids of each."""
@@ -77,39 +97,44 @@ class Tokens:
         solid = np.where(p1 < 128, ~_SPACE[p1], ((p2 >= 0xC3) & (p2 < 0xE0)) | ((p2 >= 0x80) & (p2 < 0xC0) & (p3 >= 0xE4)))
         start = np.flatnonzero(((raw == 32) & solid) | (raw >= 254) | (p1 >= 254))
         length = np.diff(np.r_[start, len(raw)])
-        place = np.arange(len(raw)) - np.repeat(start, length)
-        hashed = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * self.power[place % 4096], start) * _K + length.astype(np.uint64)
+        every = np.arange(len(raw), dtype=np.int32 if len(raw) < 1 << 31 else np.int64)
+        place = every - np.repeat(start.astype(every.dtype), length)
+        hashed = np.add.reduceat((raw + np.uint64(1)) * self.power[place & 4095], start) * _K + length.astype(np.uint64)
         _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
         # Pieces of one hash are one piece where their bytes are equal; any other stands for itself.
         model = start[first][which]
         same = length[first][which] == length
         model[~same] = start[~same]
-        same &= np.logical_and.reduceat(raw[np.repeat(model, length) + place] == raw, start)
+        place += np.repeat(model.astype(every.dtype), length)
+        same &= np.logical_and.reduceat(raw[place] == raw, start)
         if not same.all():
             odd = np.flatnonzero(~same)
             which = which.copy()
             which[odd] = len(first) + np.arange(len(odd))
             first = np.r_[first, odd]
-        kept, found = self.kept, []
-        for a, n in zip(start[first].tolist(), length[first].tolist()):
-            piece = data[a : a + n]
-            got = kept.get(piece)
-            if got is None:
-                got = self.before.get(piece) or self.ids(piece)
-                if n <= LONGEST:
-                    if len(kept) >= KEPT:
-                        self.before, self.kept = kept, {}
-                        kept = self.kept
-                    kept[piece] = got
-            found.append(got)
-        many = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        lead = np.cumsum(many) - many
+        opens = raw[start] == 32
+        joins = opens & np.r_[opens[1:], False]
+        strange = _STRANGE[raw]
+        if np.count_nonzero(strange) > len(texts):
+            joins &= ~np.logical_or.reduceat(strange, start)
+        joins = joins[first]
+        many = np.zeros(len(first), np.int64)
+        begin, size = start[first], length[first]
+        own = size[joins]
+        ends = np.cumsum(own)
+        got, many[joins] = self.together(raw[np.repeat(begin[joins] - (ends - own), own) + np.arange(ends[-1])].tobytes(), ends) if len(own) else (np.zeros(0, "<u4"), 0)
+        alone = np.flatnonzero(~joins)
+        others = [self.ids(data[a : a + n]) for a, n in zip(begin[alone].tolist(), size[alone].tolist())]
+        many[alone] = np.fromiter(map(len, others), np.int64, len(others))
+        flat = np.concatenate([got, *others])
+        order = np.r_[np.flatnonzero(joins), alone]
+        lead = np.empty(len(first), np.int64)
+        lead[order] = np.cumsum(many[order]) - many[order]
         count = many[which]
-        before = np.cumsum(count) - count
-        ids = flat[np.arange(int(count.sum())) + np.repeat(lead[which] - before, count)]
+        before_ = np.cumsum(count) - count
+        ids = flat[np.arange(int(count.sum())) + np.repeat(lead[which] - before_, count)]
         ends = np.flatnonzero(raw[start] == 255)
-        total = before[ends] + 1
+        total = before_[ends] + 1
         return ids, np.diff(np.r_[0, total])
 
 

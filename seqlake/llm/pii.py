@@ -5,15 +5,21 @@ generators propose more candidates, overlapping ones included: digit groups of
 any format, single runs of 14 to 19 digits (base takes a card and the number
 next to it for one, which fails), whatever stands around an @, and mail
 addresses written with (at) and (dot). Boosted regression trees score a
-candidate from its format and context. They are fitted here, by weak labels: a
-candidate on a base span is personal data, one on none isn't. Addresses in
-words and runs right beside other digits have no label, as base can't see them;
-they are scored by the features that they share with the others. A leading + is no feature, and the card checksum is one of single
+candidate from its format and context. They are fitted here, by weak labels
+from evidence: a candidate is personal data if it lies on a base span (a
+pattern with a check: plus sign, checksum, byte values) or if a word before it
+says so and its digits fit (`phone`, `card`, `host`); all others aren't.
+Addresses in words, runs right beside other digits, and groups of 10 to 15
+digits with brackets or mixed marks but no plus have no label, as nothing
+vouches for or against them; they are scored by the features that they share
+with the others. A leading + is no feature, and the card checksum is one of single
 runs only, so that the trees learn what other numbers look like and where they
-stand. All features are small integers, so the corpus's candidates come to the driver as counts of
-feature vectors, bounded by the features' values and not by the corpus. Half of
-the candidates (by document) fit the trees, the other half calibrates, for each
-kind, the lowest score from which on PRECISION of the candidates are base spans.
+stand. All features are small integers, so the corpus's candidates come to the
+driver as counts of feature vectors, bounded by the features' values and not by
+the corpus. Half of the documents, by a hash of id and text, fit the trees; the
+other half calibrates, for each kind, the lowest score from which on PRECISION
+of the candidates are personal data. A kind's precision is drawn towards that of
+all kinds by PRIOR candidates, so that rare kinds need no rule of their own.
 
 Positions are counted in code points: a text is split by the pattern, and the
 lengths of the parts and matches before it are a match's place.
@@ -30,8 +36,8 @@ from .common import settle
 KINDS = ["email", "ip", "card", "phone"]
 PRECISION = 0.95
 ROUNDS, DEPTH, RATE = 24, 3, 0.3
-#: Candidates of a kind that calibration needs at least; with fewer, the kind gets no more spans.
-ENOUGH = 50
+#: Candidates' worth of the precision of all kinds in that of one.
+PRIOR = 20
 
 # The base patterns, written so that no text makes them slow: a
 # repetition never gives back, and a match begins at its run's begin or where the last one ended.
@@ -89,7 +95,8 @@ def proposals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast("array<struct<kind:int,m:string,gap:int,tail:string,head:string>>")
     every = F.concat(*[F.coalesce(_matches(text, worth, p, k), none) for k, (p, worth) in enumerate(generators)])
     rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("hash"), every.alias("found")))
-    one = rows.where(F.size("found") > 0).select("row", F.posexplode("found").alias("i", "x")).select("row", "i", "x.*")
+    fits = (F.xxhash64("doc_id", "hash", F.lit(9)) % 2 == 0).alias("fits")
+    one = rows.where(F.size("found") > 0).select("row", fits, F.posexplode("found").alias("i", "x")).select("row", "fits", "i", "x.*")
     run = Window.partitionBy("row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("m")).over(run.rowsBetween(Window.unboundedPreceding, 0))
     one = one.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.length("m")).cast("int"))
@@ -107,6 +114,7 @@ def proposals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: Feature columns of a candidate; all are small non-negative integers.
 FEATURES = ["f_form", "f_digits", "f_marks", "f_groups", "f_first", "f_cue", "f_before", "f_after", "f_check"]
+EXTRA = ["labelled", "doubtful", "evident", "fits"]
 
 
 def _side(c: Column) -> Column:
@@ -114,7 +122,7 @@ def _side(c: Column) -> Column:
 
 
 def features(wide: DataFrame) -> DataFrame:
-    """wide with FEATURES and labelled: whether base could have found the candidate."""
+    """wide with FEATURES, evident: whether a word before it says what it is, labelled: whether anything could vouch for it, and doubtful: whether nothing speaks against it either, unless base has it."""
     m = F.col("m")
     bare = F.regexp_replace(m, "[0-9]", "")
     marks = F.when(bare == "", 0).when(F.translate(bare, " ", "") == "", 1).when(F.translate(bare, "-", "") == "", 2).when(F.translate(bare, ".", "") == "", 3).otherwise(F.when(F.contains(bare, F.lit("(")) | F.contains(bare, F.lit(")")), 5).otherwise(4))
@@ -126,8 +134,12 @@ def features(wide: DataFrame) -> DataFrame:
     mail = F.col("kind").isin(AROUND_AT, IN_WORDS)
     host = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, SPELLED_AT, "@"), SPELLED_DOT, "."), r"^[^@]*@\x20?", ""), r"\.")
     joined = F.regexp_like("tail", F.lit(r"(?:^|[0-9])[\x20-]?$")) | F.regexp_like("head", F.lit(r"^[\x20-]?(?:[0-9]|$)"))
+    said, n = F.col("kind") == WIDE, _digits(m)
+    evident = said & ((cue == 1) & n.between(7, 15) | (cue == 2) & n.between(14, 19) | (cue == 3) & (marks == 3) & (F.size(groups) == 4) & (n <= 12))
     return wide.withColumns({
+        "evident": evident,
         "labelled": (F.col("kind") != IN_WORDS) & ~((F.col("kind") == ONE_RUN) & joined),
+        "doubtful": said & ~evident & n.between(10, 15) & (marks >= 4) & (F.size(groups) >= 3),
         "f_form": F.element_at(F.array(*[F.lit(v) for v in FORM]), F.col("kind") - WIDE + 1),
         "f_digits": F.when(mail, 0).otherwise(F.least(_digits(m), F.lit(20))),
         "f_marks": F.when(mail, (F.col("kind") == AROUND_AT).cast("int") * F.regexp_like(m, F.lit(r"\x20@|@\x20")).cast("int")).otherwise(marks),
@@ -190,12 +202,13 @@ def score_of(trees: list[dict]) -> Column:
     return total
 
 
-def calibrate(score: np.ndarray, n: np.ndarray, positive: np.ndarray, precision: float = PRECISION) -> float:
-    """The lowest score from which on `precision` of the candidates are positive; infinite with too few."""
+def calibrate(score: np.ndarray, n: np.ndarray, positive: np.ndarray, own: np.ndarray, precision: float = PRECISION) -> float:
+    """The lowest score from which on `precision` of the own candidates, and PRIOR ones like those of all kinds, are positive; infinite if none is."""
     order = np.argsort(-score, kind="stable")
+    last = np.r_[score[order][1:] != score[order][:-1], True] if len(order) else np.zeros(0, bool)
     total, good = np.cumsum(n[order]), np.cumsum(positive[order])
-    last = np.r_[score[order][1:] != score[order][:-1], True]
-    fine = last & (total >= ENOUGH) & (good >= precision * total)
+    mine, mine_good = np.cumsum((n * own)[order]), np.cumsum((positive * own)[order])
+    fine = last & (mine_good + PRIOR * good / np.maximum(total, 1) >= precision * (mine + PRIOR))
     return float(score[order][np.flatnonzero(fine)[-1]]) if fine.any() else float("inf")
 
 
@@ -207,19 +220,18 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows, found = proposals(docs)
     base = found.where("base").select("row", "kind", "start", "end")
-    wide = features(found.where(F.col("kind") >= WIDE)).select("row", "kind", "start", "end", *FEATURES, "labelled")
+    wide = features(found.where(F.col("kind") >= WIDE)).select("row", "kind", "start", "end", *FEATURES, *EXTRA)
     # Whether a candidate lies on a base span: the farthest end of those that begin before its end.
-    marks = base.select("row", F.col("start").alias("at"), F.lit(0).alias("side"), "end", *[F.lit(None).cast("int").alias(c) for c in ("kind", "start", *FEATURES)], F.lit(None).cast("boolean").alias("labelled"))
-    asks = wide.select("row", F.col("end").alias("at"), F.lit(-1).alias("side"), F.lit(None).cast("int").alias("far"), "kind", "start", *FEATURES, "labelled", F.col("end").alias("stop"))
+    marks = base.select("row", F.col("start").alias("at"), F.lit(0).alias("side"), "end", *[F.lit(None).cast("int").alias(c) for c in ("kind", "start", *FEATURES)], *[F.lit(None).cast("boolean").alias(c) for c in EXTRA])
+    asks = wide.select("row", F.col("end").alias("at"), F.lit(-1).alias("side"), F.lit(None).cast("int").alias("far"), "kind", "start", *FEATURES, *EXTRA, F.col("end").alias("stop"))
     both = marks.withColumnRenamed("end", "far").withColumn("stop", F.lit(None).cast("int")).unionByName(asks)
     before = Window.partitionBy("row").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("reach", F.max("far").over(before)).where("stop is not null")
     seen = settle(seen.withColumn("hit", F.coalesce(F.col("reach") > F.col("start"), F.lit(False))).drop("far", "reach", "at", "side"))
     kind = F.when(F.col("kind").isin(AROUND_AT, IN_WORDS), 0).when((F.col("f_marks") == 3) & (F.col("f_groups") == 4) & (F.col("f_digits") <= 12), 1).when(F.col("f_digits") >= 14, 2).otherwise(3)
     seen = seen.withColumn("as", kind)
-    half = (F.xxhash64("row", F.lit(9)) % 2 == 0).alias("fits")
     # One row a feature vector, kind and half: bounded by the features' values.
-    counts = sorted(seen.where("labelled").groupBy(*FEATURES, "as", half).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).collect())
+    counts = sorted(seen.where("labelled and (hit or not doubtful)").groupBy(*FEATURES, "as", "fits").agg(F.count("*").alias("n"), F.count_if(F.col("hit") | F.col("evident")).alias("hits")).collect())
     fits = np.array([r["fits"] for r in counts], bool)
     more = None
     if fits.any() and (~fits).any():
@@ -229,8 +241,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         score = sum(RATE * _apply(t, x) for t in trees)
         least = F.lit(float("inf"))
         for k in range(len(KINDS)):
-            own = ~fits & (kinds == k)
-            least = F.when(F.col("as") == k, F.lit(calibrate(score[own], n[own], hits[own]))).otherwise(least)
+            least = F.when(F.col("as") == k, F.lit(calibrate(score[~fits], n[~fits], hits[~fits], kinds[~fits] == k))).otherwise(least)
         fresh = seen.where(~F.col("hit")).where(score_of(trees) >= least)
         ahead = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
         fresh = fresh.withColumn("reach", F.max("stop").over(ahead)).where(F.col("reach").isNull() | (F.col("reach") <= F.col("start")))

@@ -589,13 +589,46 @@ def test_pii_adds_cards_beside_numbers_and_addresses_in_words(spark):
     assert all("[CARD]" in r.text and "[EMAIL]" in r.text for r in pii.redact(docs).collect())
 
 
+def test_pii_finds_what_is_planted_in_the_corpus(spark):
+    """Of one document in eight the base spans are hidden from base; most are added, and nothing else is. Row order has no say."""
+    rows, hidden = [], {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect() * 8:
+        doc, text = len(rows), r.text or ""
+        if doc % 8 == 5:
+            for a, k, b in reversed(base_spans(text)):
+                own = text[a:b]
+                if k == 0:
+                    own = own.replace("@", " (at) ").replace(".com", " (dot) com")
+                    span = f"email:{a}:{a + len(own)}"
+                elif k == 2:
+                    own, span = f"8251 {own}", f"card:{a + 5}:{b + 5}"
+                elif k == 3:
+                    own, span = own[1:], f"phone:{a}:{b - 1}"
+                else:
+                    continue
+                text = text[:a] + own + text[b:]
+                hidden[doc] = span  # the first one's place is what stays as it is
+        rows.append((doc, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.op9(spark, docs.repartition(3)).collect()}
+    again = {r.doc_id: r.spans for r in pii.op9(spark, docs.repartition(7)).collect()}
+    assert {d: r.spans for d, r in got.items()} == again
+    found = [s in got[d].spans.split(",") for d, s in hidden.items()]
+    assert len(found) > 20 and np.mean(found) > 0.8
+    clean = {d for d in got if d % 8 != 5}
+    assert sum(got[d].spans.count(":") // 2 - sum(got[d][f"n_{k}"] for k in pii.KINDS) for d in clean) <= 0.01 * len(clean)
+
+
 def test_boosting_separates():
     x = np.array([[a, b, 0, 0, 0, 0, 0, 0] for a in range(4) for b in range(4)])
     n = np.full(16, 100.0)
     good = np.where((x[:, 0] > 1) & (x[:, 1] > 0), 97.0, 3.0)
     score = sum(pii.RATE * pii._apply(t, x) for t in pii.boost(x, n, good))
     assert ((score > 0) == (good > 50)).all()
-    assert pii.calibrate(score, n, good) == score[good > 50].min()
+    least = score[good > 50].min()
+    assert pii.calibrate(score, n, good, np.ones(16, bool)) == least
+    assert pii.calibrate(score, n, good, np.zeros(16, bool)) == least  # a kind without candidates
+    assert pii.calibrate(score, n, 0 * good, np.ones(16, bool)) == np.inf == pii.calibrate(*[np.zeros(0)] * 4)
 
 
 def test_licenses(spark, sf, odd, none):

@@ -288,6 +288,54 @@ def test_url_filter(spark):
     assert urls.filter_captures(pages, entries.limit(0), "page_id", "url", F.col("day").cast("date")).where("blocked").count() == 0
 
 
+URLS = ["http://localhost/a", "http://zip/", "http://a.zip/x", "http://1.2.3.4/A/b", "http://[2001:db8::1]:80/", "http://x.y.example.com./P/q?z", "HTTP://U@X.example.com/p/q", "", "//", "x" * 100_000, "http://a.b/" + "s/" * 20_000, "http://" + "l." * 20_000 + "com/p", None]
+
+
+def plain_blocks(url, day, entries):
+    """The lists whose entries are active for a capture, entry by entry and day by day."""
+    rest = re.sub(r"(?i)^[a-z][a-z0-9+.-]*://", "", url)
+    host = re.split("[/?#]", rest)[0].split("@")[-1]
+    host = re.sub(r":[0-9]*$", "", host).rstrip(".").lower()
+    whole = host + "/" + re.split("[?#]", rest.partition("/")[2])[0] if re.match("[^/?#]*/", rest) else host
+    address, hits = re.fullmatch(r"[0-9]+(\.[0-9]+){3}", host) or host.startswith("["), set()
+    for key in {(e[0], e[1], e[2]) for e in entries}:
+        past = sorted({e[4] for e in entries if e[:3] == key and e[4] <= day})
+        if past and not any(e[:3] == key and e[4] == past[-1] and e[3] == "remove" for e in entries):
+            value = key[2].lower() if key[1] == "domain" else key[2]
+            if key[1] == "domain" and (host == value or host.endswith("." + value) and not address) or key[1] == "prefix" and (whole == value or whole.startswith(value + "/")):
+                hits.add(key)
+    return hits
+
+
+def test_url_filter_by_brute_force(spark):
+    values = [("domain", "zip"), ("domain", "localhost"), ("domain", "3.4"), ("domain", "1.2.3.4"), ("domain", "com"), ("domain", "[2001:db8::1]"), ("domain", "EXAMPLE.com"), ("prefix", "1.2.3.4/A"), ("prefix", "x.example.com/p/q"), ("prefix", "x.y.example.com/p"), ("prefix", "a.b/s/s/s"), ("domain", "a.zip.b")]
+    rng, days = np.random.default_rng(3), [f"2024-{m:02d}-{d:02d}" for m in range(1, 5) for d in (1, 15, 28)]
+    entries = [("allow" if rng.random() < 0.1 else "l" + str(rng.integers(0, 2)), k, v, "add" if rng.random() < 0.65 else "remove", str(rng.choice(days))) for k, v in values for _ in range(6)]
+    rows = [(i, u, d) for i, u in enumerate(URLS) for d in days]
+    pages, listed = spark.createDataFrame(rows, "page_id long, url string, day string"), spark.createDataFrame(entries, "list string, kind string, value string, action string, on string")
+    got = urls.filter_captures(pages, listed, "page_id", "url", F.col("day").cast("date")).collect()
+    want = []
+    for i, u, d in rows:
+        hits = plain_blocks(u, d, entries) if u is not None else set()
+        lists = sorted({h[0] for h in hits})
+        want.append((i, d, len(hits), ",".join(lists), bool(lists) and "allow" not in lists))
+    assert sorted((r.id, str(r.fetched_on), r.hits, r.lists, r.blocked) for r in got) == sorted(want)
+    assert sum(w[4] for w in want) > 20
+
+
+def test_op4_equals_its_sql_on_odd_urls(spark):
+    import duckdb
+
+    rows = [(i, u) for i, u in enumerate([*[u for u in URLS if u is None or len(u) < 1000], *[f"http://{h}/{p}" for h in ("a", "b", "c", "d.e", "f.g.h", "localhost", "x.localhost", "9.8.7.6") for p in ("", "A/b", "a/B?c", "z/")]] * 12)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    cols = ["page_id", "host", "fetched_on", "hits", "lists", "blocked"]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({urls.OP4_SQL})").fetchall()
+    got = [tuple(r) for r in urls.op4(spark, df).select(*cols).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(r[5] for r in got) > 20
+
+
 def test_quality(spark, sf, odd, none):
     labels = table(spark, sf, "labels")
     got = quality.op6(spark, table(spark, sf, "documents"), labels).toPandas()

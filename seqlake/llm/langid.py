@@ -1,7 +1,7 @@
 """Language identification: script ranges narrow the candidates, then Viterbi over
 per-word scores with a switching penalty labels spans of mixed-language text.
 
-A word is a run of letters. Its score for a language is the sum of smoothed log
+A word is a run of letters and the combining marks that follow them. Its score for a language is the sum of smoothed log
 probabilities of its hashed letter pairs and triples, word ends included. Only
 languages that use the word's script are candidates. The best path pays
 SWITCH for every change of language; the text's language is that of most
@@ -14,6 +14,7 @@ Everything else covers all rows.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,7 +50,8 @@ _NAMES = ["other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
 
 @dataclass
 class _Letters:
-    lower: np.ndarray  # a letter's lower-case code point, 0 for anything else
+    lower: np.ndarray  # a letter's lower-case code point, a combining mark's own, 0 for anything else
+    mark: np.ndarray
     script: np.ndarray
 
 
@@ -62,14 +64,17 @@ def letters() -> _Letters:
     if _letters is None:
         lower = np.zeros(0x110000, np.uint32)
         script = np.zeros(0x110000, np.uint8)
+        mark = np.zeros(0x110000, bool)
         for i in range(0x110000):
             c = chr(i)
-            if c.isalpha():
+            if unicodedata.category(c)[0] == "M":
+                lower[i], mark[i] = i, True
+            elif c.isalpha():
                 low = c.lower()
                 lower[i] = ord(low) if len(low) == 1 else i
         for name, a, b in SCRIPTS:
             script[a : b + 1] = _NAMES.index(name)
-        _letters = _Letters(lower, script)
+        _letters = _Letters(lower, mark, script)
     return _letters
 
 
@@ -91,6 +96,11 @@ def words_of(texts: list[str]) -> Words | None:
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     tables = letters()
     c = tables.lower[code]
+    marks = tables.mark[code]
+    if marks.any():
+        # A mark belongs to a word if what stands before it and other marks is a letter.
+        solid = np.maximum.accumulate(np.where(marks, 0, np.arange(len(code))))
+        c = np.where(marks & ((c[solid] == 0) | marks[solid]), 0, c)
     inside = c != 0
     before = np.r_[False, inside[:-1]]
     start = np.flatnonzero(inside & ~before)
@@ -292,7 +302,13 @@ def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those of no known language, or of none for at least `least` of their letters."""
+    """docs without those of no known language, or of none for at least `least` of their letters.
+
+    Null and empty texts, and texts without letters, go. Repeated rows stay or
+    go together; ids may be null. A score equal to `least` stays. An empty table
+    stays empty; without learned languages everything goes. Other columns are
+    kept as they are.
+    """
     names = docs.columns
     inner = docs.toDF(*[f"_{i}" if n != "text" else n for i, n in enumerate(names)])
     found = identify(inner, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least))

@@ -90,6 +90,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log(mixed / r)
 
 
+def keyed(scored: DataFrame) -> DataFrame:
+    """scored (doc_id, log_weight) with key: the log weight plus Gumbel noise that the doc_id seeds."""
+    u = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+
+
 def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """doc_id, log_weight, key, selected for every row.
 
@@ -109,8 +115,7 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION) ->
 
     narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     scored = with_columns(narrow, make, "text", "log_weight double").select("doc_id", "log_weight")
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = settle(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u))))
+    scored = settle(keyed(scored))
     n = scored.count()
     least = threshold(scored, round(n * fraction)) if n and round(n * fraction) else None
     taken = F.lit(bool(round(n * fraction))) if least is None else F.col("key") >= least

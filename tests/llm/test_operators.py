@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -755,3 +756,95 @@ def test_langid_many_languages():
     scores = np.zeros((200, len(want)), np.float32)
     scores[want, np.arange(len(want))] = 9
     assert langid.viterbi(scores, np.zeros(len(want), np.int64), 2.5).tolist() == want.tolist()
+
+
+WRAP = 2**64
+
+
+def plain_features(word):
+    """(pair, triple) buckets of a word's places, its end included."""
+    c = [0, 0, *[ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in word], 0]
+    for p2, p1, now in zip(c, c[1:], c[2:]):
+        pair = (p1 * 0x9E3779B97F4A7C15 + now * 0xC2B2AE3D27D4EB4F) % WRAP
+        triple = (pair * 0x165667B19E3779F9 + p2 * 0x27D4EB2F165667C5) % WRAP
+        yield pair >> 51, triple >> 49
+
+
+def plain_words(text):
+    """Letters and the marks that follow them, one character at a time."""
+    out, now = [], ""
+    for c in text:
+        if c.isalpha() or now and unicodedata.category(c)[0] == "M":
+            now += c
+        elif now:
+            out, now = [*out, now], ""
+    return [*out, now] if now else out
+
+
+def test_langid_model_and_scores_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    texts = {"aa": ["Abra kadabra, abra!", "kada bra ABBA"], "bb": ["zitto zotto été", "zott ÉTÉ zu"], "hi": ["हिन्दी भाषा", "नमस्ते दुनिया"], "ru": ["привет мир", "Мир миру"]}
+    rows = [(int(i), t, lang) for lang in texts for t in texts[lang] for i in rng.integers(0, 10**6, 6)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1] + [(i, "zz zz", "aa") for i in range(10**7, 10**7 + 50) if zlib.crc32(str(i).encode()) % 3 == 1]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(texts)
+    counts = {lang: [np.zeros(langid.PAIRS), np.zeros(langid.TRIPLES)] for lang in texts}
+    for i, t, lang in rows:
+        if i < 10**7:  # the others are held out
+            for w in plain_words(t):
+                for a, b in plain_features(w):
+                    counts[lang][0][a] += 1
+                    counts[lang][1][b] += 1
+    logp = np.array([np.concatenate([np.log((x + langid.ALPHA) / (x + langid.ALPHA).sum()) for x in counts[lang]]) for lang in model.langs])
+    logp = (logp - logp.mean(axis=0)) / 2
+    assert np.allclose(model.logp, logp, atol=1e-4)
+    some = ["abra été हिन्दी", "мир! e\u0301te\u0301 \u0301 x", "भाषा"]
+    own = langid.words_of(some)
+    plain = [w for t in some for w in plain_words(t)]
+    assert own.length.tolist() == [len(w) for w in plain] and own.doc.tolist() == [d for d, t in enumerate(some) for _ in plain_words(t)]
+    got = langid.word_scores(model, own)
+    script = {"latin": {"aa", "bb"}, "devanagari": {"hi"}, "cyrillic": {"ru"}}
+    for k, w in enumerate(plain):
+        of = next(n for n, a, b in langid.SCRIPTS if a <= ord(w[0]) <= b)
+        for i, lang in enumerate(model.langs):
+            want = sum(logp[i, a] + logp[i, langid.PAIRS + b] for a, b in plain_features(w)) if lang in script[of] else -1e4
+            assert abs(got[i, k] - want) < 1e-3, (w, lang)
+    assert langid.words_of(["\u0301\u0301 12", " \u093e"]) is None
+
+
+def plain_grams(text):
+    """Buckets of a text's words and word pairs."""
+    raw, hashed = bytes(text.lower() if isinstance(text, bytes) else text.encode().lower()), []
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x09-\x0d\x20]+", raw):
+        h = sum((b + 1) * pow(0x100000001B3, i % 64 + 1, WRAP) * (i // 64 + 1) for i, b in enumerate(m[0])) * 0x9E3779B97F4A7C15 % WRAP
+        hashed.append(h ^ h >> 29)
+    pairs = [(a * 0xC2B2AE3D27D4EB4F + b) % WRAP for a, b in zip(hashed, hashed[1:])]
+    return [x * 0x9E3779B97F4A7C15 % WRAP >> 50 for x in hashed + pairs]
+
+
+def test_quality_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = ["good", "fine", "word", "x1", "...", "été", "long" * 40, "BAD", "spam!", "$$"]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 7 if i % 3 else 10], int(rng.integers(0, 30))))) for i in range(90)] + [(90, None), (91, ""), (5, "good good")]
+    labels = [(i, 1, 0) for i in range(0, 90) if i % 3] + [(0, 0, 0), (None, 1, 0), (1, 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = quality.op6(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    raw, target, good = np.full(quality.BUCKETS, quality.ALPHA), np.full(quality.BUCKETS, quality.ALPHA), {d for d, q, _ in labels if q == 1}
+    for d, t in rows:
+        for g in plain_grams(t or ""):
+            raw[g] += 1
+            target[g] += d in good
+    ratio = np.log(0.9 * target / target.sum() * raw.sum() / raw + 0.1)
+    want = sorted((d, round(sum(ratio[g] for g in plain_grams(t or "")), 6)) for d, t in rows)
+    assert sorted((r.doc_id, round(r.log_weight, 6)) for r in got) == want
+    keys = sorted((r.key for r in got), reverse=True)
+    k = round(len(rows) * quality.FRACTION)
+    assert {r.key for r in got if r.selected} == set(keys[:k]) and sum(r.selected for r in got) == k
+
+
+def test_quality_draws_in_proportion_to_the_weights(spark):
+    """Gumbel keys: of two groups whose weights differ by a factor, first draws divide by it."""
+    u = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0).alias("log_weight"))
+    keyed = quality.keyed(u).withColumn("group", F.expr("doc_id div 10"))
+    first = keyed.groupBy("group").agg(F.max_by("log_weight", "key").alias("w"))
+    assert abs(first.agg(F.avg("w")).first()[0] - np.e / (1 + np.e)) < 0.01

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, settle, with_columns
-from .nearcopies import near_copies
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Blocks of the 64 bits as (lowest bit, width).
@@ -51,6 +50,11 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
         starts = [0, *ends]
         digest = xxhash.xxh64_digest
         hashes = b"".join([digest(norm[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :])])
+    return fold(hashes)
+
+
+def fold(hashes: bytes) -> int:
+    """The fingerprint of big-endian 64-bit hashes: the bits that are set in over half of them."""
     h = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     counts = np.zeros((8, 256), np.int64)
     for at in range(0, len(h), 1 << 17):
@@ -115,7 +119,7 @@ def bk_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> Iterato
             hit = (d <= radius) & (node < query)
             if hit.any():
                 yield query[hit], node[hit]
-            low = np.searchsorted(key, node * 65 + np.maximum(d - radius, 1), "left")
+            low = np.searchsorted(key, node * 65 + np.maximum(d - radius, 0), "left")
             high = np.searchsorted(key, node * 65 + np.minimum(d + radius, 64), "right")
             many = np.maximum(high - low, 0)
             total = int(many.sum())
@@ -221,7 +225,14 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of near copies (nearcopies): that with the smallest doc_id, null ids last, then the first row."""
+    """One row of each component of near copies (nearcopies): that with the smallest doc_id, null ids last, then the first row.
+
+    Texts that are null or have no words are copies of each other. Repeated
+    rows are copies; rows that share an id and no text aren't. An empty table
+    stays empty. docs may have any columns but _llm_row.
+    """
+    from .nearcopies import near_copies
+
     numbered = settle(docs.withColumn("_llm_row", F.monotonically_increasing_id()))
     drop = settle(near_copies(numbered, "_llm_row").where("_llm_row != best.row").select("_llm_row"))
     return numbered.join(drop, "_llm_row", "left_anti").drop("_llm_row")

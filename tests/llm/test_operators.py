@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqlake.llm import langid, licenses, mixing, packing, pii, quality, simhash, tokens, urls, vectors
+from seqlake.llm import langid, licenses, mixing, nearcopies, packing, pii, quality, simhash, tokens, urls, vectors
 
 LONG = "Lorem ipsum dolor sit amet, consectetur. " * 5000
 EXTRA = ["fp", "size", "target", "taken", "spans", "lang_pred", "row", "hash", "shard", "passes", "label", "key", "_id", "count"]
@@ -136,6 +136,36 @@ def test_near_copies_by_jaccard(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, stays in want.items() if stays)
 
 
+@pytest.mark.parametrize("small, hot", [(16, 2048), (1, 2048), (1, 7)])
+def test_near_copies_by_brute_force(spark, monkeypatch, small, hot):
+    """Chains of texts, each a near copy of its neighbours only, and texts that share a half; in small and large shards, sliced or not."""
+    monkeypatch.setattr(nearcopies, "SMALL", small)
+    monkeypatch.setattr(nearcopies, "HOT", hot)
+    rng = np.random.default_rng(7)
+    rows = []
+    for c in range(3):
+        own = [f"c{c}w{i}" for i in range(700)]
+        rows += [" ".join(own[10 * k : 10 * k + 200]) for k in range(40) if not 18 < k < 22]
+    passage = [f"p{i}" for i in range(170)]
+    rows += [" ".join([*passage, *[f"r{k}x{i}" for i in range(int(rng.integers(5, 60)))]]) for k in range(40)]
+    rows += [" ".join(rng.choice(["a", "b"], 40)) for _ in range(10)]
+    sets = [set(nearcopies.shingles(t.encode()).tolist()) for t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = sorted({x: min(i for i, y in enumerate(label) if y == x) for x in label}.values())
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
+def test_links_of_equal_fingerprints():
+    fps = np.array([5, 5, 7, 5, 2**40], np.uint64)
+    got = {(int(x), int(y)) for a, b in simhash.bk_links(np.zeros(5, int), fps, 1) for x, y in zip(a, b)}
+    assert got == {(1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)}
+
+
 def test_keep_one_picks_rows(spark):
     a, b, c, d = ([f"{x}{i}" for i in range(200)] for x in "abcd")
     rows = [(5, altered(a, 0, 0)), (5, altered(b, 0, 0)), (9, altered(b, 1, 0)), (3, altered(a, 1, 0))]

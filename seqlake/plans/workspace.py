@@ -1,4 +1,4 @@
-"""A shared place for tables that queries derive once in a session."""
+"""A shared place for tables that queries derive, removed when the application ends."""
 
 from __future__ import annotations
 
@@ -8,15 +8,29 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 _made: dict[tuple, str] = {}
+_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of the warehouse where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """A folder of this application's in spark.checkpoint.dir, or in one of the warehouse where that is unset."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+            spark.conf.set("spark.checkpoint.dir", named)
+        path = f"{named.rstrip('/')}/{app}-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)  # only what exists can be marked
+        fs.deleteOnExit(at)
+        _folders[app] = path
+    return _folders[app]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[str], None]) -> str:

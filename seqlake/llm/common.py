@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.ship import ship
+from ..plans.workspace import remove, shared_folder
 
 #: Characters (or bytes) of text that a Python worker turns into arrays at once.
 CHUNK = 1 << 19
+_scopes: list[list[str]] = []
 #: Cells of a pass of the threshold search.
 CELLS = 4096
 
@@ -25,23 +28,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of the warehouse where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends, executors may go."""
+    """Write df to the shared folder and read it again: lineage ends, executors may go. The table lasts as long as the application, or its scratch()."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    for own in _scopes:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are settled inside are removed at its end; what is to last is written by then."""
+    _scopes.append(made := [])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """df with its rows' places from 0 in an order; the sort is by range and ranges are numbered apart, so no task holds all rows."""
     ranged = settle(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
@@ -70,6 +78,7 @@ def chunks(lengths: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
 
 def with_columns(df: DataFrame, make: Callable[[pa.Array], dict[str, pa.Array]], column: str, added: str) -> DataFrame:
     """df's columns followed by those that make(array of `column`) gives; added: their DDL. No shuffle."""
+    ship(df.sparkSession)
     schema, more = df.schema, StructType.fromDDL(added)
     kept, names = len(schema.fields), more.fieldNames()
     at = schema.fieldNames().index(column)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from .common import chunks, with_columns
 
 #: Documents of each language that the model is fitted on, on average.
@@ -155,6 +156,7 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on rows with text, lang and an id that isn't held out. Without such rows there are no languages."""
+    ship(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     # A row for each language.
     rate = known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("rate"))

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from . import tokens
 from .common import chunks
 
@@ -139,6 +140,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str) -> DataFram
         if (made := stream.cut(True)) is not None:
             yield made
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from .common import chunks, settle, threshold, with_columns
 
 BUCKETS, BITS = 1 << 14, 14
@@ -73,6 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of the target's and the raw text's probability of each bucket; zero without labelled or raw text."""
+    ship(docs.sparkSession)
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(TARGET).select("doc_id", F.lit(True).alias("good"))
     # At most TARGET ids.

@@ -8,12 +8,21 @@ that Spark reads. The bucket size is kept beside the data; a reader with another
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .ship import ship
 
 PART = re.compile(r"part-(\d{20})-(\d{20})\.[A-Za-z0-9.]+")
 BUCKET = re.compile(r"seq_bucket=(\d+)")
@@ -51,16 +60,48 @@ class FileInfo:
     bytes: int
 
 
+@dataclass(frozen=True)
+class Published:
+    """What publish() has put in place."""
+
+    parts: int
+    first: int
+    last: int
+
+
+@dataclass(frozen=True)
+class Encoder:
+    """A file format of the caller's: write(path, table) makes the whole file of one part, its rows in the order of their sequences."""
+
+    ext: str
+    write: Callable[[str, pa.Table], None]
+
+
+#: Renames that the driver has under way at once, in a store that tasks can't reach.
+RENAMES = 32
+#: Buckets of a window that are listed one by one; of more, Spark lists all in parallel.
+FEW = 64
+
+
 class Dataset:
-    def __init__(self, spark: SparkSession, path: str, bucket_size: int = 1 << 20, ext: str = "parquet"):
-        self.spark, self.path, self.bucket_size, self.ext = spark, path.rstrip("/"), bucket_size, ext
+    def __init__(self, spark: SparkSession, path: str, bucket_size: int = 1 << 20, ext: str = "parquet", encoder: Encoder | None = None):
+        self.spark, self.path, self.bucket_size, self.encoder = spark, path.rstrip("/"), bucket_size, encoder
+        self.ext = encoder.ext.lstrip(".") if encoder else ext
         self._at = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        #: The folder, where driver and executors share it as one.
+        self.folder = self._at(self.path).toUri().getPath() if self.fs.getUri().getScheme() == "file" else None
         kept = self._kept_size()
         if kept is not None and kept != bucket_size:
             raise BucketSizeMismatch(f"{self.path} has buckets of {kept}, not {bucket_size}")
 
     def _kept_size(self) -> int | None:
+        if self.folder is not None:
+            try:
+                with open(f"{self.folder}/{META}", "rb") as f:
+                    return int(f.read())
+            except FileNotFoundError:
+                return None
         at = self._at(f"{self.path}/{META}")
         if not self.fs.exists(at):
             return None
@@ -70,18 +111,46 @@ class Dataset:
         finally:
             f.close()
 
+    def _entries(self, below: str = "") -> list[tuple[str, bool, int]]:
+        """(name, whether it is a folder, bytes) in the dataset's folder or one below; none if it is absent. What begins with _ or . isn't seen."""
+        if self.folder is not None:
+            try:
+                with os.scandir(os.path.join(self.folder, below)) as found:
+                    out = [(x.name, x.is_dir(), 0 if x.is_dir() else x.stat().st_size) for x in found if x.name[0] not in "_."]
+            except (FileNotFoundError, NotADirectoryError):
+                return []
+            return out
+        at = self._at(f"{self.path}/{below}" if below else self.path)
+        if not self.fs.exists(at):
+            return []
+        listed = [(s.getPath().getName(), s.isDirectory(), s.getLen()) for s in self.fs.listStatus(at)]
+        return [x for x in listed if x[0][0] not in "_."]
+
+    def _parts(self, below: str, entries: list[tuple[str, bool, int]]) -> list[FileInfo]:
+        at = f"{self.path}/{below}" if below else self.path
+        found = [(name, parse_part(name), size) for name, folder, size in entries if not folder and name.endswith(f".{self.ext}")]
+        return [FileInfo(f"{at}/{name}", parse_bucket(below), *span, size) for name, span, size in found if span]
+
     def files(self) -> list[FileInfo]:
         """All finished parts in order of their first sequence; an absent folder has none."""
-        out = []
-        for pattern in (f"{self.path}/*/part-*.{self.ext}", f"{self.path}/part-*.{self.ext}"):
-            for s in self.fs.globStatus(self._at(pattern)) or []:
-                if found := parse_part(s.getPath().getName()):
-                    out.append(FileInfo(s.getPath().toString(), parse_bucket(s.getPath().getParent().getName()), *found, s.getLen()))
+        top = self._entries()
+        out = self._parts("", top)
+        for name, folder, _ in top:
+            if folder:
+                out += self._parts(name, self._entries(name))
         return sorted(out, key=lambda f: (f.first, f.last))
 
     def visible_high(self) -> int | None:
-        """The highest sequence of a finished part, from the names."""
-        return max((f.last for f in self.files()), default=None)
+        """The highest sequence of a finished part, from the names: of the last bucket that has one, as a part lies in one bucket."""
+        top = self._entries()
+        high = [f.last for f in self._parts("", top)]
+        buckets = sorted(((parse_bucket(name), name) for name, folder, _ in top if folder), key=lambda x: -1 if x[0] is None else x[0], reverse=True)
+        for bucket, name in buckets:
+            own = [f.last for f in self._parts(name, self._entries(name))]
+            high += own
+            if own and bucket is not None:
+                break
+        return max(high, default=None)
 
     def catalog(self) -> DataFrame:
         """(path, seq_bucket, first, last, bytes, rows) of the parts; rows come from the files."""
@@ -89,52 +158,123 @@ class Dataset:
         listed = self.spark.createDataFrame(rows, "path string, seq_bucket long, first long, last long, bytes long")
         if not rows:
             return listed.withColumn("rows", F.lit(0).cast("long"))
-        place = F.regexp_replace("path", "^([a-z]+):/+", "$1:/")
+        place = F.substring_index("path", "/", -2)
         counts = self.read().groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
         counts = counts.select(place.alias("place"), "rows")
         return listed.withColumn("place", place).join(counts, "place", "left").drop("place")
 
-    def publish(self, df: DataFrame, max_rows: int = 50_000, codec: str = "snappy", seq: str = "seq", row_group_bytes: int | None = None) -> list[tuple[int, int]]:
-        """Write df's rows as parts and return their ranges.
+    def publish(self, df: DataFrame, max_rows: int = 50_000, codec: str = "snappy", seq: str = "seq", row_group_bytes: int | None = None) -> Published | None:
+        """Write df's rows as parts; None if there are none.
 
         A part is a slice of max_rows sequences of one bucket, sorted, written
         by one task: a bucket's rows are bounded by its sequences, so no key is
-        hot. Files are staged out of a reader's sight and renamed one by one;
-        the same rows give the same names, and equal names replace each other.
+        hot. All files are staged out of a reader's sight before the first is
+        renamed. Tasks rename them; in a store that only the driver reaches it
+        does so, many at once. The same rows give the same names, and a file
+        replaces one of its name at once.
         """
         if codec not in CODECS:
             raise ValueError(f"unknown compression {codec}")
         n, rows = self.bucket_size, max(1, max_rows)
         stage = f"{self.path}/_staging-{uuid.uuid4().hex}"
-        placed = df.withColumn("seq_bucket", F.expr(f"{seq} div {n}L")).withColumn("_slice", F.expr(f"(({seq} % {n}L) div {rows}L)"))
+        placed = df.withColumn("_bucket", F.expr(f"{seq} div {n}L")).withColumn("_part", F.expr(f"(({seq} % {n}L) div {rows}L)"))
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        out = placed.repartition(parts, "seq_bucket", "_slice").sortWithinPartitions("seq_bucket", "_slice", seq)
-        write = out.withColumn("_bucket", F.col("seq_bucket")).withColumn("_part", F.col("_slice")).drop("seq_bucket", "_slice").write.partitionBy("_bucket", "_part").option("compression", codec)
-        if row_group_bytes:
-            write = write.option("parquet.block.size", row_group_bytes)
-        write = write.format("parquet" if self.ext == "parquet" else "json").option("maxRecordsPerFile", 0)
+        out = placed.repartition(parts, "_bucket", "_part").sortWithinPartitions("_bucket", "_part", seq)
         try:
-            write.save(stage)
-            if not self.fs.globStatus(self._at(f"{stage}/_bucket=*")):
-                return []
-            # One row a file; the range is in the footers' statistics.
-            reader = self.spark.read.schema(df.schema).format("parquet" if self.ext == "parquet" else "json")
-            ranges = reader.load(stage).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(seq).alias("first"), F.max(seq).alias("last")).collect()
-            done = []
+            staged = self._encoded(out, stage, seq) if self.encoder else self._written(out, df.schema, stage, codec, seq, row_group_bytes)
+            if staged is None:
+                return None
             self._keep_size()
-            for r in sorted(ranges, key=lambda r: r["first"]):
-                to = f"{self.path}/seq_bucket={r['first'] // n:020d}"
-                self.fs.mkdirs(self._at(to))
-                goal = self._at(f"{to}/{part_name(r['first'], r['last'], self.ext)}")
-                if self.fs.exists(goal):
-                    self.fs.delete(goal, False)
-                if not self.fs.rename(self._at(r["path"]), goal):
-                    raise OSError(f"{goal} could not be put in place")
-                done.append((r["first"], r["last"]))
-            return done
+            done = self._put(staged).agg(F.count("*").alias("parts"), F.min("first").alias("first"), F.max("last").alias("last")).first()
+            return Published(done["parts"], done["first"], done["last"]) if done["parts"] else None
         finally:
             self.fs.delete(self._at(stage), True)
 
+    def _written(self, out: DataFrame, schema: StructType, stage: str, codec: str, seq: str, row_group_bytes: int | None) -> DataFrame | None:
+        """Staged files (path, first, last) by Spark's own writer."""
+        write = out.write.partitionBy("_bucket", "_part").option("compression", codec).option("maxRecordsPerFile", 0)
+        if row_group_bytes:
+            write = write.option("parquet.block.size", row_group_bytes)
+        kind = "parquet" if self.ext == "parquet" else "json"
+        write.format(kind).save(stage)
+        if not self.fs.globStatus(self._at(f"{stage}/_bucket=*")):
+            return None
+        # Of every file the sequences alone are read again.
+        read = self.spark.read.schema(schema).format(kind).option("recursiveFileLookup", "true").load(stage)
+        return read.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(seq).cast("long").alias("first"), F.max(seq).cast("long").alias("last"))
+
+    def _encoded(self, out: DataFrame, stage: str, seq: str) -> DataFrame:
+        """Staged files (path, first, last) by the caller's encoder, in tasks."""
+        if self.folder is None:
+            raise ValueError("an encoder writes to a folder that executors share")
+        ship(self.spark)
+        folder, encoder = self._at(stage).toUri().getPath(), self.encoder
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            os.makedirs(folder, exist_ok=True)
+            held: list[pa.RecordBatch] = []
+
+            def put() -> pa.RecordBatch:
+                both = pa.Table.from_batches(held).drop_columns(["_bucket", "_part"])
+                seqs = both.column(seq)
+                path = f"{folder}/{uuid.uuid4().hex}.{encoder.ext.lstrip('.')}"
+                encoder.write(path, both)
+                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((f"file://{path}", pa.string()), (seqs[0].as_py(), pa.int64()), (seqs[-1].as_py(), pa.int64()))], names=["path", "first", "last"])
+
+            for b in batches:
+                keys = list(zip(b.column("_bucket").to_pylist(), b.column("_part").to_pylist()))
+                at = 0
+                for i in range(1, len(keys) + 1):
+                    if i == len(keys) or keys[i] != keys[at]:
+                        if held and (held[0].column("_bucket")[0].as_py(), held[0].column("_part")[0].as_py()) != keys[at]:
+                            yield put()
+                            held.clear()
+                        held.append(b.slice(at, i - at))
+                        at = i
+            if held:
+                yield put()
+
+        out.mapInArrow(write, "path string, first long, last long").write.parquet(f"{stage}/_list")
+        return self.spark.read.parquet(f"{stage}/_list")
+
+    def _put(self, staged: DataFrame) -> DataFrame:
+        """Rename staged files (path, first, last) to where they belong."""
+        n, ext = self.bucket_size, self.ext
+        place = lambda first, last: f"seq_bucket={first // n:020d}/{part_name(first, last, ext)}"
+        if self.folder is None:
+            context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(self.path).toUri(), self.spark._jsc.hadoopConfiguration())
+            over = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            over[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+
+            def one(r) -> tuple[int, int]:
+                goal = self._at(f"{self.path}/{place(r['first'], r['last'])}")
+                self.fs.mkdirs(goal.getParent())
+                context.rename(self._at(r["path"]), goal, over)
+                return r["first"], r["last"]
+
+            rows, done, first, last = staged.toLocalIterator(), 0, None, None
+            with ThreadPoolExecutor(RENAMES) as pool:
+                while some := list(islice(rows, 10_000)):
+                    for a, b in pool.map(one, some):
+                        done, first, last = done + 1, a if first is None else min(a, first), b if last is None else max(b, last)
+            return self.spark.sql(f"SELECT {'null' if first is None else first}L AS first, {'null' if last is None else last}L AS last FROM range({done})") if done else self.spark.createDataFrame([], "first long, last long")
+        ship(self.spark)
+        folder = self.folder
+
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path, first, last in zip(*[c.to_pylist() for c in b.columns]):
+                    goal, own = f"{folder}/{place(first, last)}", unquote(urlparse(path).path)
+                    os.makedirs(os.path.dirname(goal), exist_ok=True)
+                    try:
+                        os.replace(own, goal)
+                    except FileNotFoundError:
+                        if not os.path.exists(goal):  # else a task that ran before has done it
+                            raise
+                yield b.select(["first", "last"])
+
+        return staged.select("path", "first", "last").mapInArrow(move, "first long, last long")
+
     def _keep_size(self) -> None:
         at = self._at(f"{self.path}/{META}")
         if not self.fs.exists(at):
@@ -144,11 +284,23 @@ class Dataset:
             finally:
                 f.close()
 
-    def read(self, schema=None) -> DataFrame:
-        """All parts, columns by name, NULL where a file lacks one; seq_bucket is a LONG column where there are buckets."""
+    def read(self, schema: StructType | None = None, buckets: tuple[int, int] | None = None) -> DataFrame:
+        """All parts, columns by name, NULL where a file lacks one; seq_bucket is a LONG column where there are buckets.
+
+        With a schema, only the folders of `buckets` (first, last) are listed if they are few.
+        """
         kind = "parquet" if self.ext == "parquet" else "json"
         reader = self.spark.read.option("pathGlobFilter", f"part-*.{self.ext}").option("basePath", self.path)
         if schema is not None:
-            return reader.schema(schema).format(kind).load(self.path)
+            where: list[str] | str = self.path
+            if buckets is not None:
+                top = self._entries()
+                inside = [name for name, folder, _ in top if folder and buckets[0] <= (-1 if (b := parse_bucket(name)) is None else b) <= buckets[1]]
+                whole = all(parse_bucket(name) is not None for name, folder, _ in top if folder) and not self._parts("", top)
+                if whole and not inside:
+                    return self.spark.createDataFrame([], schema)
+                if whole and len(inside) <= FEW:
+                    where = [f"{self.path}/{name}" for name in sorted(inside)]
+            return reader.schema(schema).format(kind).load(where)
         df = reader.option("mergeSchema", "true").format(kind).load(self.path)
         return df.withColumn("seq_bucket", F.col("seq_bucket").cast("long")) if "seq_bucket" in df.columns else df

@@ -78,7 +78,7 @@ class Engine:
         if high is None:
             raise NoData(self.path)
         b = resolve_window(mode, start, watermark, high, self.bucket_size)
-        df = self.dataset.read(self.schema)
+        df = self.dataset.read(self.schema, (b.bucket_low or 0, b.bucket_high))
         df = df.where(F.col(self.seq) <= b.high)
         bucketed = "seq_bucket" in df.columns
         if b.low > 0:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..plans.dataset import Dataset, FileInfo
+from ..plans.dataset import Dataset, Encoder, FileInfo
 from ..sources import logsource
 from ..sources.log import FileCursor, MemCursor, load, paced_end
 from ..sources.store import LocalStore
@@ -39,10 +39,10 @@ def json_decoder(schema: StructType | str, names: dict[str, str] | None = None)
 
 
 class Sink:
-    def __init__(self, spark: SparkSession, log: str, path: str, decode: Decode, *, cursor: MemCursor | FileCursor | None = None, start: int = 0, bucket_size: int = 1 << 20, max_rows: int = 50_000, per_poll: int = 0, codec: str = "snappy", ext: str = "parquet"):
+    def __init__(self, spark: SparkSession, log: str, path: str, decode: Decode, *, cursor: MemCursor | FileCursor | None = None, start: int = 0, bucket_size: int = 1 << 20, max_rows: int = 50_000, per_poll: int = 0, codec: str = "snappy", ext: str = "parquet", encoder: Encoder | None = None):
         logsource.register(spark)
         self.spark, self.log, self.decode, self.cursor = spark, log, decode, cursor or MemCursor()
-        self.dataset = Dataset(spark, path, bucket_size, ext)
+        self.dataset = Dataset(spark, path, bucket_size, ext, encoder)
         self.max_rows, self.per_poll, self.codec = max_rows, per_poll, codec
         held = self.cursor.load()
         self.next = start if held is None else held
@@ -69,7 +69,7 @@ class Sink:
         done = self.dataset.publish(self.decode(raw), self.max_rows, self.codec)
         n, self.next = end - self.next, end
         if done:
-            self._high = max([last for _, last in done] + ([self._high] if self._high is not None else []))
+            self._high = done.last if self._high is None else max(self._high, done.last)
         self.cursor.save(self.next)
         if done:
             try:

@@ -1,12 +1,13 @@
 """Dataset, windows, materializer, continuous queries."""
 
 import json
+import os
 import queue
 
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.plans.dataset import BucketSizeMismatch, Dataset, parse_part, part_name
+from seqlake.plans.dataset import BucketSizeMismatch, Dataset, Encoder, Published, parse_part, part_name
 from seqlake.plans.engine import Engine, Mode, NoData, resolve_window
 from seqlake.sources.log import FileCursor, Writer, WriterOptions, truncate
 from seqlake.sources.store import LocalStore
@@ -41,7 +42,8 @@ def test_layout_and_windows(spark, tmp_path):
     e = Engine(spark, path, 10)
     with pytest.raises(NoData):
         e.query("SELECT * FROM records")
-    assert Dataset(spark, path, 10).publish(rows(spark, 0, 25)) == [(0, 9), (10, 19), (20, 24)]
+    d = Dataset(spark, path, 10)
+    assert d.publish(rows(spark, 0, 25)) == Published(3, 0, 24) and [(f.first, f.last) for f in d.files()] == [(0, 9), (10, 19), (20, 24)]
     assert e.visible_high() == 24
     df, high = e.query("SELECT * FROM records ORDER BY seq", start=5)
     assert high == 24 and seqs(df) == list(range(5, 25)) and "seq_bucket" in df.columns
@@ -77,7 +79,7 @@ def test_dedup_and_idempotent_publish(spark, tmp_path):
     assert len(d.files()) == 2
     assert Engine(spark, path, 10).query("SELECT * FROM records")[0].count() == 8
     assert seqs(Engine(spark, path, 10, dedup=True).query("SELECT * FROM records")[0]) == [0, 1, 2, 3, 4]
-    assert [p.bucket for p in d.files()] == [0, 0] and d.publish(rows(spark, 0, 0)) == []
+    assert [p.bucket for p in d.files()] == [0, 0] and d.publish(rows(spark, 0, 0)) is None
     with pytest.raises(ValueError):
         d.publish(rows(spark, 0, 1), codec="unknown")
 
@@ -91,7 +93,51 @@ def test_schema_union(spark, tmp_path):
 
 
 def test_max_rows_per_part(spark, tmp_path):
-    assert Dataset(spark, str(tmp_path / "d"), 10).publish(rows(spark, 0, 12), max_rows=4) == [(0, 3), (4, 7), (8, 9), (10, 11)]
+    d = Dataset(spark, str(tmp_path / "d"), 10)
+    assert d.publish(rows(spark, 0, 12), max_rows=4).parts == 4 and [(f.first, f.last) for f in d.files()] == [(0, 3), (4, 7), (8, 9), (10, 11)]
+
+
+def test_publish_where_only_the_driver_reaches(spark, tmp_path):
+    """Renames by the driver, which replace a file of the same name."""
+    d = Dataset(spark, str(tmp_path / "d"), 10)
+    d.folder = None
+    for _ in range(2):
+        assert d.publish(rows(spark, 0, 25)) == Published(3, 0, 24) and d.visible_high() == 24
+    assert [(f.first, f.last, f.bucket) for f in d.files()] == [(0, 9, 0), (10, 19, 1), (20, 24, 2)] and d.files()[0].bytes > 0
+    assert seqs(d.read()) == list(range(25)) and d.publish(rows(spark, 0, 0)) is None
+
+
+def test_encoder(spark, tmp_path):
+    """Parts in a format of the caller's, one call a part."""
+
+    def write(path, table):
+        import pathlib
+
+        pathlib.Path(path).write_text("".join(f"{s}={v}\n" for s, v in zip(table["seq"].to_pylist(), table["val"].to_pylist())))
+
+    d = Dataset(spark, str(tmp_path / "d"), 10, encoder=Encoder(".txt", write))
+    assert d.publish(rows(spark, 0, 25).repartition(3), max_rows=7) == Published(5, 0, 24)
+    assert [(f.first, f.last) for f in d.files()] == [(0, 6), (7, 9), (10, 16), (17, 19), (20, 24)]
+    assert open(d.files()[1].path).read() == "7=v7\n8=v8\n9=v9\n"
+    d.folder = None
+    with pytest.raises(ValueError):
+        d.publish(rows(spark, 0, 5))
+
+
+def test_few_buckets_are_listed(spark, tmp_path):
+    """With a schema a narrow window reads its buckets' folders; parts without buckets are still seen."""
+    path = str(tmp_path / "d")
+    Dataset(spark, path, 10).publish(rows(spark, 0, 100))
+    e = Engine(spark, path, 10, schema=rows(spark, 0, 1).schema)
+    df, _ = e.window(Mode.INCREMENTAL, watermark=85)
+    assert seqs(df) == list(range(85, 100)) and len(df.inputFiles()) == 2 and "seq_bucket" in df.columns
+    assert e.window(Mode.INCREMENTAL, watermark=100)[0].count() == 0
+    assert seqs(e.window(Mode.CUMULATIVE)[0]) == list(range(100))
+    os.makedirs(f"{path}/seq_bucket={11:020d}")
+    assert e.visible_high() == 99
+    Dataset(spark, str(tmp_path / "x"), 1000).publish(rows(spark, 200, 210))
+    os.replace(Dataset(spark, str(tmp_path / "x"), 1000).files()[0].path, f"{path}/{part_name(200, 209)}")
+    assert e.visible_high() == 209 and seqs(e.window(Mode.INCREMENTAL, watermark=95)[0].drop("seq_bucket")) == list(range(95, 100))
 
 
 def write(path, low, high):

@@ -21,7 +21,7 @@ from .plans.engine import Engine, Mode
 from .plans.workspace import once
 from .sources import files, logsource
 from .sources.log import load, paced_end
-from .sources.store import LocalStore
+from .sources.store import open_store
 from .streaming import events as event_time
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,7 +193,7 @@ def log_replay_from(spark, d):
 @query("SELECT event_id AS seq, event_id AS id FROM events WHERE event_id IN (0, 1, 333, 999)")
 def log_locate(spark, d):
     """Point reads: the manifest names the one segment of each sequence."""
-    m, _ = load(LocalStore(_log(spark, d)))
+    m, _ = load(open_store(_log(spark, d)))
     reads = [_tail(spark, d, start=s, end=s + 1) for s in (0, 1, 333, 999) if m.locate(s)]
     out = reads[0]
     for r in reads[1:]:
@@ -203,7 +203,7 @@ def log_locate(spark, d):
 
 @query("SELECT 600 AS x, true AS first_holds_x, max(event_id) + 1 AS next_seq, max(event_id) + 1 - 600 AS from_x FROM events")
 def log_suffix(spark, d):
-    m, _ = load(LocalStore(_log(spark, d)))
+    m, _ = load(open_store(_log(spark, d)))
     found = m.suffix(600)
     rows = [(600, found[0].seq <= 600 < found[0].end, m.next_seq, found[-1].end - 600)]
     return spark.createDataFrame(rows, "x int, first_holds_x boolean, next_seq long, from_x long")
@@ -212,7 +212,7 @@ def log_suffix(spark, d):
 @query("SELECT max(event_id) + 1 AS next_seq, true AS tiles, true AS all_dropped_before FROM events")
 def log_truncate(spark, d):
     """Dropping a prefix keeps the next sequence and splits no segment."""
-    m, _ = load(LocalStore(_log(spark, d)))
+    m, _ = load(open_store(_log(spark, d)))
     m.truncate(400)
     kept = m.entries
     tiles = all(a.end == b.seq for a, b in zip(kept, kept[1:]))
@@ -227,7 +227,7 @@ def log_group_meta(spark, d):
 @query("SELECT count(*) AS n, count(*) AS distinct_n, true AS paced FROM events")
 def log_paced(spark, d):
     """Bounded reads, one after the other, that together are the log."""
-    m, _ = load(LocalStore(_log(spark, d)))
+    m, _ = load(open_store(_log(spark, d)))
     at, reads, fine = 0, [], True
     while at < m.next_seq:
         end = paced_end(m, at, max(1, m.next_seq // 5))

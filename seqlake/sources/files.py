@@ -12,6 +12,7 @@ from .log import Ack, Writer
 # The review schema's CSV header, columns and payload keys.
 REVIEW_HEADER = ["Index", "Review ID", "Product Name", "Rating", "Review Text"]
 REVIEW_COLUMNS = ["index", "review_id", "product_name", "rating", "review_text"]
+REVIEW_SCHEMA = "index long, review_id string, product string, rating long, text string"
 REVIEW_KEYS = {"index": "index", "review_id": "review_id", "product": "product_name", "rating": "rating", "text": "review_text"}
 
 

@@ -1,7 +1,9 @@
 """The log as a Spark data source, format "seqlog": batch and stream reads, and writes.
 
-Options: path (a folder that driver and executors share), start, end (exclusive),
-startSegment, recordsPerBatch, partitionRecords, minPartitions. Each partition is
+Options: path (s3://bucket/prefix, or a folder that driver and executors share;
+for S3 also endpoint, region, accessKey, secretKey and sessionToken where the
+environment doesn't have them), start, end (exclusive), startSegment,
+recordsPerBatch, partitionRecords, minPartitions. Each partition is
 a run of segments; it holds about partitionRecords records at most, and fewer
 where the read would have less than minPartitions partitions otherwise.
 """
@@ -14,13 +16,14 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+import pyarrow.compute as pc
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..plans.ship import ship
 from .codec import Entry, Group, encode_segment
-from .log import Writer, WriterOptions, load, paced_end, save, segment_records
-from .store import LocalStore
+from .log import Writer, WriterOptions, load, paced_end, segment_records, upload
+from .store import Store, open_store
 
 SCHEMA = "seq long, group_meta binary, data binary, ingest_ts timestamp, segment string"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -28,6 +31,15 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 LEAST = 4096
 
 
+#: A store's keywords and the source's options.
+OPTIONS = {"endpoint": "endpoint", "region": "region", "access_key": "accessKey", "secret_key": "secretKey", "token": "sessionToken"}
+
+
+def store_of(options: dict) -> Store:
+    """The store of a reader's or writer's options (lower-case names)."""
+    return open_store(options["path"], **{k: options.get(v.lower()) for k, v in OPTIONS.items()})
+
+
 class _Run(InputPartition):
     def __init__(self, entries: list[Entry], start: int, end: int):
         self.entries, self.start, self.end = entries, start, end
@@ -35,7 +47,7 @@ class _Run(InputPartition):
 
 def _runs(options: dict, start: int, end: int) -> list[_Run]:
     """Partitions: segments with sequences in [start, end), put together up to a number of records."""
-    m, _ = load(LocalStore(options["path"]))
+    m, _ = load(store_of(options))
     share = -(-(end - start) // int(options.get("minpartitions", 16)))
     most = min(int(options.get("partitionrecords", 1_000_000)), max(share, LEAST))
     out: list[list[Entry]] = []
@@ -53,7 +65,7 @@ def _runs(options: dict, start: int, end: int) -> list[_Run]:
 
 def _read(options: dict, run: _Run) -> Iterator[pa.RecordBatch]:
     """A segment's records at a time, as Arrow."""
-    store = LocalStore(options["path"])
+    store = store_of(options)
     for e in run.entries:
         held = segment_records(store, e)
         seq = e.seq + np.arange(len(held)) if e.count else np.full(len(held), e.seq)
@@ -71,7 +83,7 @@ def _read(options: dict, run: _Run) -> Iterator[pa.RecordBatch]:
 
 def _start(options: dict) -> int:
     if "startsegment" in options:
-        return load(LocalStore(options["path"]))[0].segment_start(int(options["startsegment"]))
+        return load(store_of(options))[0].segment_start(int(options["startsegment"]))
     return int(options.get("start", 0))
 
 
@@ -80,7 +92,7 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[_Run]:
-        m, _ = load(LocalStore(self.options["path"]))
+        m, _ = load(store_of(self.options))
         start = _start(self.options)
         end = min(int(self.options.get("end", m.next_seq)), m.next_seq)
         if "recordsperbatch" in self.options:
@@ -101,7 +113,7 @@ class _StreamReader(DataSourceStreamReader):
         return {"seq": _start(self.options)}
 
     def latestOffset(self) -> dict:
-        m, _ = load(LocalStore(self.options["path"]))
+        m, _ = load(store_of(self.options))
         at = self.last if self.last is not None else _start(self.options)
         self.last = max(at, paced_end(m, at, int(self.options.get("recordsperbatch", 0))))
         return {"seq": self.last}
@@ -123,10 +135,10 @@ class _Part(WriterCommitMessage):
         self.partition, self.segments = partition, segments
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Tasks upload segments; the driver commits them with one manifest write, in order of partitions.
 
-    Rows need a binary or string column `data`; `group_meta` binary is optional.
+    Rows need a binary or string column `data`, null being empty; `group_meta` binary is optional.
     Rows in a row with equal group_meta are one group. A task that is run again uploads under new names, of
     which the commit takes only the successful attempt's.
     """
@@ -135,10 +147,10 @@ class _Writer(DataSourceWriter):
         self.options, self.names = options, schema.fieldNames()
         self.run = secrets.token_hex(12)
 
-    def write(self, rows: Iterator) -> _Part:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Part:
         from pyspark import TaskContext
 
-        store, task = LocalStore(self.options["path"]), TaskContext.get()
+        store, task = store_of(self.options), TaskContext.get()
         most = int(self.options.get("segmentbytes", 16 << 20))
         now = int(datetime.now(timezone.utc).timestamp() * 1000)
         segments: list[tuple[str, int, list[Group]]] = []
@@ -150,37 +162,45 @@ class _Writer(DataSourceWriter):
             nonlocal data, groups, size
             if data:
                 key = f"segments/{self.run}/{task.partitionId():08x}-{task.taskAttemptId():x}-{len(segments):08x}"
-                store.put(key, encode_segment(data))
+                upload(store, key, encode_segment(data))
                 segments.append((key, len(data), groups))
                 data, groups, size = [], [], 0
 
-        for row in rows:
-            raw = row["data"]
-            raw = raw.encode() if isinstance(raw, str) else bytes(raw or b"")
-            if data and size + len(raw) + 4 > most:
-                put()
-            meta = bytes(row["group_meta"] or b"") if "group_meta" in self.names else b""
-            if not groups or groups[-1].payload != meta:
-                groups.append(Group(len(data), now, meta))
-            data.append(raw)
-            size += len(raw) + 4
+        for b in batches:
+            held = pc.fill_null(b.column("data").cast(pa.binary()), b"")
+            meta = pc.fill_null(b.column("group_meta").cast(pa.binary()), b"") if "group_meta" in self.names else pa.repeat(pa.scalar(b"", pa.binary()), b.num_rows)
+            sizes = pc.binary_length(held).to_numpy().astype(np.int64) + 4
+            codes = meta.dictionary_encode().indices.to_numpy()
+            fresh = np.r_[True, codes[1:] != codes[:-1]][: len(codes)]
+            total, at = np.cumsum(sizes), 0
+            while at < b.num_rows:
+                # As many rows as there is room for; a larger one stands alone.
+                room = (total[at - 1] if at else 0) + most - size
+                end = int(np.searchsorted(total, room, "right"))
+                if end <= at:
+                    if data:
+                        put()
+                        continue
+                    end = at + 1
+                for k in sorted({0, *np.flatnonzero(fresh[at:end]).tolist()}):
+                    own = meta[at + k].as_py()
+                    if not groups or groups[-1].payload != own:
+                        groups.append(Group(len(data) + k, now, own))
+                data += held[at:end].to_pylist()
+                size += int(total[end - 1] - (total[at - 1] if at else 0))
+                at = end
         put()
         return _Part(task.partitionId(), segments)
 
     def commit(self, messages: list[_Part | None]) -> None:
-        store = LocalStore(self.options["path"])
-        writer = Writer(store, WriterOptions(), background=False)
+        writer = Writer(store_of(self.options), WriterOptions(), background=False)
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.partition)
-        m, tag = load(store)
-        if m.epoch != writer.epoch:
-            raise RuntimeError("another writer has claimed the log")
-        for part in parts:
-            for key, count, groups in part.segments:
-                m.append(key, count, tuple(groups))
-        save(store, m, tag)
+        segments = [(key, count, tuple(groups)) for part in parts for key, count, groups in part.segments]
+        if segments:
+            writer.commit(segments)
 
     def abort(self, messages: list[_Part | None]) -> None:
-        store = LocalStore(self.options["path"])
+        store = store_of(self.options)
         for m in messages:
             for key, _, _ in m.segments if m is not None else []:
                 store.delete(key)

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from ..plans.dataset import Dataset, Encoder, FileInfo
 from ..sources import logsource
 from ..sources.log import FileCursor, MemCursor, load, paced_end
-from ..sources.store import LocalStore
+from ..sources.store import open_store
 
 Decode = Callable[[DataFrame], DataFrame]
 
@@ -39,8 +39,10 @@ def json_decoder(schema: StructType | str, names: dict[str, str] | None = None)
 
 
 class Sink:
-    def __init__(self, spark: SparkSession, log: str, path: str, decode: Decode, *, cursor: MemCursor | FileCursor | None = None, start: int = 0, bucket_size: int = 1 << 20, max_rows: int = 50_000, per_poll: int = 0, codec: str = "snappy", ext: str = "parquet", encoder: Encoder | None = None):
+    def __init__(self, spark: SparkSession, log: str, path: str, decode: Decode, *, cursor: MemCursor | FileCursor | None = None, start: int = 0, bucket_size: int = 1 << 20, max_rows: int = 50_000, per_poll: int = 0, codec: str = "snappy", ext: str = "parquet", encoder: Encoder | None = None, store: dict[str, str] | None = None):
+        """store: what the log's store needs beside its path, as open_store() names it."""
         logsource.register(spark)
+        self.store = store or {}
         self.spark, self.log, self.decode, self.cursor = spark, log, decode, cursor or MemCursor()
         self.dataset = Dataset(spark, path, bucket_size, ext, encoder)
         self.max_rows, self.per_poll, self.codec = max_rows, per_poll, codec
@@ -61,11 +63,11 @@ class Sink:
 
     def poll(self) -> int:
         """One pass; the number of sequences ingested."""
-        m, _ = load(LocalStore(self.log))
+        m, _ = load(open_store(self.log, **self.store))
         end = paced_end(m, self.next, self.per_poll)
         if end <= self.next:
             return 0
-        raw = self.spark.read.format("seqlog").option("path", self.log).option("start", self.next).option("end", end).load()
+        raw = self.spark.read.format("seqlog").option("path", self.log).option("start", self.next).option("end", end).options(**{logsource.OPTIONS[k]: v for k, v in self.store.items()}).load()
         done = self.dataset.publish(self.decode(raw), self.max_rows, self.codec)
         n, self.next = end - self.next, end
         if done:

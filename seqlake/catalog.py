@@ -23,6 +23,7 @@ from .sources import files, logsource
 from .sources.log import load, paced_end
 from .sources.store import open_store
 from .streaming import events as event_time
+from .streaming.sink import json_decoder
 
 Query = Callable[[SparkSession, str], DataFrame]
 N = 1000
@@ -66,10 +67,12 @@ def engine(spark: SparkSession, sf_dir: str, dedup: bool = False) -> Engine:
 
 
 def _overlap(spark: SparkSession, sf_dir: str, dedup: bool) -> Engine:
+    """All events, and parts with other ends that hold two thirds of every bucket again."""
+
     def make(path: str) -> None:
         rows = as_records(table(spark, sf_dir, "events"))
-        Dataset(spark, path, N).publish(rows.where("seq < 100"))
-        Dataset(spark, path, N).publish(rows.where("seq < 200"))
+        Dataset(spark, path, N).publish(rows)
+        Dataset(spark, path, N).publish(rows.where("seq % 3 != 0"), max_rows=400)
 
     return Engine(spark, once(spark, "overlap", sf_dir, make), N, dedup=dedup)
 
@@ -145,12 +148,12 @@ def incremental_two_steps(spark, d):
     return first.unionByName(rest).selectExpr(*[x.strip() for x in ("seq", "user_id", "event_type", "round(value, 4) AS value")])
 
 
-@query("SELECT event_id AS seq, event_type FROM events WHERE event_id < 200")
+@query("SELECT event_id AS seq, event_type FROM events")
 def dedup_overlap(spark, d):
     return _overlap(spark, d, True).query("SELECT seq, event_type FROM records")[0]
 
 
-@query("SELECT event_id AS seq, event_type FROM events WHERE event_id < 200 UNION ALL SELECT event_id, event_type FROM events WHERE event_id < 100")
+@query("SELECT event_id AS seq, event_type FROM events UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 3 != 0")
 def no_dedup_overlap(spark, d):
     return _overlap(spark, d, False).query("SELECT seq, event_type FROM records")[0]
 
@@ -209,6 +212,26 @@ def log_suffix(spark, d):
     return spark.createDataFrame(rows, "x int, first_holds_x boolean, next_seq long, from_x long")
 
 
+@query("SELECT event_id AS seq, CAST(event_id // 100 AS VARCHAR) AS meta FROM events WHERE event_id >= (SELECT max(event_id) // 2 FROM events)")
+def log_replay_segment(spark, d):
+    """From a segment's begin on, named by its number; what lies before the asked sequence is left out."""
+    m, _ = load(open_store(_log(spark, d)))
+    half = (m.next_seq - 1) // 2
+    k = next(i for i, e in enumerate(m.entries) if e.end > half)
+    return _tail(spark, d, startSegment=k).where(F.col("seq") >= half).select("seq", F.col("group_meta").cast("string").alias("meta"))
+
+
+@query("SELECT 450 AS x, true AS after_is_later, true AS since_holds_x, true AS tail_goes_on, max(event_id) + 1 AS next_seq FROM events")
+def log_lookups(spark, d):
+    """Segments after a sequence, since one, and those that follow a segment."""
+    m, _ = load(open_store(_log(spark, d)))
+    after, since = m.after(450), m.since(450)
+    at, _ = m.locate(450)
+    tail = m.tail(m.entries.index(at))
+    rows = [(450, all(e.seq > 450 for e in after), since[-1].end == m.next_seq and all(e.end > 450 for e in since), len(list(tail)) == len(m.entries) - m.entries.index(at) - 1, m.next_seq)]
+    return spark.createDataFrame(rows, "x int, after_is_later boolean, since_holds_x boolean, tail_goes_on boolean, next_seq long")
+
+
 @query("SELECT max(event_id) + 1 AS next_seq, true AS tiles, true AS all_dropped_before FROM events")
 def log_truncate(spark, d):
     """Dropping a prefix keeps the next sequence and splits no segment."""
@@ -245,6 +268,16 @@ def json_decode(spark, d):
     return engine(spark, d).query("SELECT seq, from_json(props, 'k long').k AS k FROM records")[0]
 
 
+@query("SELECT event_id AS seq, event_id AS index, event_type AS product_name, 'é \"' || event_id AS review_text FROM events")
+def json_payload(spark, d):
+    """Payloads whose keys differ from the columns, put in a log's form and decoded again."""
+    e = table(spark, d, "events")
+    text = F.concat(F.lit('é "'), F.col("event_id").cast("string"))
+    rows = e.select(F.col("event_id").alias("index"), F.lit("r").alias("review_id"), F.col("event_type").alias("product_name"), F.lit(5).alias("rating"), text.alias("review_text"))
+    logged = files.to_payload(rows.withColumn("seq", F.col("index")), keep=["seq"])
+    return json_decoder(files.REVIEW_SCHEMA, files.REVIEW_KEYS)(logged).select("seq", "index", "product_name", "review_text")
+
+
 @query(f"SELECT {RAW} FROM events")
 def jsonl_roundtrip(spark, d):
     rows = as_records(table(spark, d, "events")).select("seq", "user_id", "event_type", F.round("value", 4).alias("value"))
@@ -268,6 +301,7 @@ both("join_inner", "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedp
 both("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
 both("join_right", "SELECT r_name, count(n_nationkey) AS n FROM {nation} RIGHT JOIN {region} ON n_regionkey = r_regionkey AND n_name < 'M' GROUP BY r_name")
 both("join_full", "SELECT coalesce(c.k, s.k) AS k, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} WHERE c_acctbal > 5000 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} GROUP BY 1) s ON c.k = s.k")
+both("join_natural", "SELECT n_name, r_name FROM {nation} NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM {region}) r")
 both("join_semi", "SELECT c_custkey, c_name FROM {customer} SEMI JOIN {orders} ON c_custkey = o_custkey")
 both("join_anti", "SELECT c_custkey, c_name FROM {customer} ANTI JOIN {orders} ON c_custkey = o_custkey")
 both("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation} WHERE n_nationkey < 5")
@@ -278,7 +312,7 @@ both("join_lateral", "SELECT n_name, t.c_custkey AS top_customer FROM {nation},
 
 @query("SELECT o_orderkey, band FROM orders JOIN (VALUES (0, 50000.0, 'low'), (1, 150000.0, 'mid'), (2, 1e12, 'high')) b(i, hi, band) ON o_totalprice >= CASE i WHEN 0 THEN 0 WHEN 1 THEN 50000 ELSE 150000 END AND o_totalprice < hi")
 def join_range(spark, d):
-    bands = spark.createDataFrame([(0.0, 50_000.0, "low"), (50_000.0, 150_000.0, "mid"), (150_000.0, 1_000_000.0, "high")], "lo double, hi double, band string")
+    bands = spark.createDataFrame([(0.0, 50_000.0, "low"), (50_000.0, 150_000.0, "mid"), (150_000.0, 1e12, "high")], "lo double, hi double, band string")
     return joins.range_join(table(spark, d, "orders"), bands, "o_totalprice", "lo", "hi", 50_000.0).select("o_orderkey", "band")
 
 
@@ -314,10 +348,11 @@ both("agg_stats", "SELECT event_type, round(stddev_samp(value), 6) AS sd, round(
 both("agg_bool", "SELECT event_type, bool_and(value >= 0) AS every, bool_or(value > 99) AS some FROM {events} GROUP BY event_type")
 
 
-@query(None)
+@query("SELECT l_returnflag, true AS close, quantile_disc(l_quantity, 0.5) AS mid FROM lineitem GROUP BY l_returnflag")
 def agg_approx(spark, d):
-    """Approximate counts have no equal on the other side."""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("mid"))
+    """The approximate count lies within three standard errors of the exact one; the percentile's accuracy is over the number of values, so it is exact."""
+    parts, exact = F.approx_count_distinct("l_partkey", 0.02), F.count_distinct("l_partkey")
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg((F.abs(parts - exact) <= 0.06 * exact).alias("close"), F.percentile_approx("l_quantity", 0.5, 10_000_000).alias("mid"))
 
 
 @query("SELECT min(value) AS low, round(avg(value), 6) AS mean, max(value) AS high, max(v50) AS p50, max(v90) AS p90, max(v99) AS p99 FROM (SELECT value, CASE WHEN i = CAST(floor(0.5 * n) AS BIGINT) THEN value END AS v50, CASE WHEN i = CAST(floor(0.9 * n) AS BIGINT) THEN value END AS v90, CASE WHEN i = CAST(floor(0.99 * n) AS BIGINT) THEN value END AS v99 FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events))")

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, take: list[str], bucket_seconds: int = 86_400) -> DataFrame:
     """left with, for each row, `take` of the right row of its key with the latest right_ts <= left_ts; NULLs if none.
 
-    Right rows that tie on key and time are told apart by the taken values; the
-    largest wins. Both sides are united and read once in the order of time.
+    NULL keys and times match nothing. Right rows that tie on key and time are
+    told apart by the taken values; the largest wins. Both sides are united and read once in the order of time.
     The window's key has a time bucket in it, so that a hot key is many
     windows; what came before a bucket is carried in from an aggregate per bucket.
     """
     names = [f"_r_{c}" for c in take]
     seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     row = F.struct(F.col(right_ts).alias("at"), *[F.col(c).alias(n) for c, n in zip(take, names)])
-    keyed = right.where(F.col(right_ts).isNotNull())
+    keyed = right.dropna(subset=[right_ts, *by])
     r = keyed.select(*by, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), row.alias("_right"), F.floor(seconds(right_ts) / bucket_seconds).alias("_bucket"))
     own = F.struct(*[F.col(c) for c in left.columns]).alias("_left")
     l = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), own, F.floor(seconds(left_ts) / bucket_seconds).alias("_bucket"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import number_rows
+
 
 def qualify(df: DataFrame, value: Column, keep) -> DataFrame:
     """Rows for which keep(value) holds, value being a window expression."""
@@ -32,8 +34,9 @@ def sum_excluding_current(df: DataFrame, value: str, name: str, by: list[str], o
 
 
 def limit_percent(df: DataFrame, percent: float, order: list) -> DataFrame:
-    """The first percent of the rows in an order, rounded down."""
-    return df.orderBy(*order).limit(int(df.count() * percent / 100))
+    """The first percent of the rows in an order, rounded down. Rows are numbered by range, so no task holds what is taken."""
+    numbered = number_rows(df, order, "_place_of")
+    return numbered.where(F.col("_place_of") < int(numbered.count() * percent / 100)).drop("_place_of")
 
 
 def dedup(df: DataFrame, keys: list[str]) -> DataFrame:

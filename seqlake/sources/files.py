@@ -31,9 +31,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(_number("index").alias("index"), _clean("review_id").alias("review_id"), _clean("product_name").alias("product_name"), _number("rating").alias("rating"), F.coalesce(_clean("review_text"), F.lit("")).alias("review_text"))
 
 
-def to_payload(df: DataFrame, keys: dict[str, str] = REVIEW_KEYS) -> DataFrame:
-    """One JSON object per row in a column `data`; keys: payload key -> column."""
-    return df.select(F.to_json(F.struct(*[F.col(c).alias(k) for k, c in keys.items()])).cast("binary").alias("data"))
+def to_payload(df: DataFrame, keys: dict[str, str] = REVIEW_KEYS, keep: list[str] | None = None) -> DataFrame:
+    """One JSON object per row in a column `data`, beside the columns to keep; keys: payload key -> column."""
+    return df.select(*(keep or []), F.to_json(F.struct(*[F.col(c).alias(k) for k, c in keys.items()])).cast("binary").alias("data"))
 
 
 def append_rows(df: DataFrame, writer: Writer, batch: int = 100, delay: float = 0.0) -> list[Ack]:

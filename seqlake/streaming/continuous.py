@@ -28,7 +28,8 @@ class Continuous:
     the highest sequence plus one; a tick without new sequences emits nothing.
     Cumulative ones emit at every tick. The watermark moves before delivery, so
     a crash may lose a result (at_least_once=True: after it, so that it may
-    repeat one). Every stream has a session of its own, as views are a session's.
+    repeat one). A result is held by the driver, as its caller takes it row by
+    row: the query is to state an aggregate or a limit. Every stream has a session of its own, as views are a session's.
     """
 
     def __init__(self, engine: Engine, sql: str, mode: Mode = Mode.INCREMENTAL, start: int = 0, store: Any = None, bind: Callable[[Row], Any] | None = None, buffer: int = 1, at_least_once: bool = False):

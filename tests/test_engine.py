@@ -216,3 +216,22 @@ def test_continuous(spark, tmp_path):
     assert [r.rows for r in c.run(ticks)] == [[10, 11, 12, 13, 14]]
     every = Continuous(e, "SELECT count(*) AS n FROM records", Mode.CUMULATIVE, bind=lambda r: r.n)
     assert [every.trigger().rows, every.trigger().rows] == [[15], [15]]
+
+
+def test_asof_join_of_null_keys(spark):
+    from seqlake.operators.joins import asof_join
+
+    left = spark.createDataFrame([(None, 5, 1), ("a", 5, 2), ("a", None, 3), ("b", 5, 4)], "k string, t int, id int").withColumn("t", F.timestamp_seconds("t"))
+    right = spark.createDataFrame([(None, 1, "x"), ("a", 2, "y"), ("a", None, "z"), ("b", 9, "w")], "k string, t int, v string").withColumn("t", F.timestamp_seconds("t"))
+    got = asof_join(left, right, ["k"], "t", "t", ["v"]).collect()
+    assert sorted((r.id, r.v) for r in got) == [(1, None), (2, "y"), (3, None), (4, None)]
+
+
+@pytest.mark.parametrize("percent", [0, 10, 33.4, 100])
+def test_limit_percent(spark, percent):
+    from seqlake.operators.windows import limit_percent
+
+    df = spark.range(97).repartition(5).withColumn("tie", F.col("id") % 2)
+    got = sorted((r.tie, r.id) for r in limit_percent(df, percent, ["tie", "id"]).collect())
+    assert got == sorted((i % 2, i) for i in range(97))[: int(97 * percent / 100)]
+    assert limit_percent(df.limit(0), percent, ["id"]).count() == 0

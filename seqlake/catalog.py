@@ -221,15 +221,13 @@ def log_replay_segment(spark, d):
     return _tail(spark, d, startSegment=k).where(F.col("seq") >= half).select("seq", F.col("group_meta").cast("string").alias("meta"))
 
 
-@query("SELECT 450 AS x, true AS after_is_later, true AS since_holds_x, true AS tail_goes_on, max(event_id) + 1 AS next_seq FROM events")
+@query("SELECT 450 AS x, true AS after_is_later, true AS since_is_not_before, true AS tail_ends_the_log, max(event_id) + 1 AS next_seq FROM events")
 def log_lookups(spark, d):
-    """Segments after a sequence, since one, and those that follow a segment."""
+    """Segments that begin after a sequence, or at it, and the last ones by their places."""
     m, _ = load(open_store(_log(spark, d)))
-    after, since = m.after(450), m.since(450)
-    at, _ = m.locate(450)
-    tail = m.tail(m.entries.index(at))
-    rows = [(450, all(e.seq > 450 for e in after), since[-1].end == m.next_seq and all(e.end > 450 for e in since), len(list(tail)) == len(m.entries) - m.entries.index(at) - 1, m.next_seq)]
-    return spark.createDataFrame(rows, "x int, after_is_later boolean, since_holds_x boolean, tail_goes_on boolean, next_seq long")
+    after, since, tail = m.after(450), m.since(450), list(m.tail(3).values())
+    rows = [(450, all(e.seq > 450 for e in after), all(e.seq >= 450 for e in since) and since[-1].end == m.next_seq, tail == m.entries[-3:], tail[-1].end)]
+    return spark.createDataFrame(rows, "x int, after_is_later boolean, since_is_not_before boolean, tail_ends_the_log boolean, next_seq long")
 
 
 @query("SELECT max(event_id) + 1 AS next_seq, true AS tiles, true AS all_dropped_before FROM events")

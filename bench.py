@@ -26,11 +26,18 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from seqlake import catalog
+    from seqlake.plans.dataset import Dataset
 
     every, took = catalog.queries(), {}
     t = time.time()
     catalog.engine(spark, sf_dir)
-    took["materialize"] = round(time.time() - t, 3)
+    took["materialize_cold"] = round(time.time() - t, 3)  # the session's first job
+    each = []
+    for k in range(runs):
+        t = time.time()
+        Dataset(spark, f"{own}/shared/again-{k}", catalog.N).publish(catalog.as_records(catalog.table(spark, sf_dir, "events")))
+        each.append(time.time() - t)
+    took["materialize"] = round(statistics.median(each), 3)
     for name in HEADLINE:
         each = []
         for _ in range(runs + 1):  # the first run compiles, and writes what the query needs once

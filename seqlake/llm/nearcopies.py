@@ -37,6 +37,8 @@ BANDS, DEPTH, SEED = 24, 5, 42
 SMALL, LEADERS = 16, 3
 #: Sets, and shingles in all, of a slice of a large shard.
 HOT, HEAVY = 2048, 1 << 20
+#: Rows (two numbers each) whose texts are fetched by a broadcast at most; of more, by a shuffle.
+FETCHED = 1 << 21
 #: Shingles that are permuted at once.
 STEP = 1 << 12
 
@@ -186,15 +188,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _led(large: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of every set with its shards' leaders."""
+    """Pairs (u, v), within the radius, of every set with its shards' leaders."""
     degree = large.groupBy("own").agg(F.sum("size").alias("degree"))
     orders: list[Column] = [F.struct("degree", "own"), *[F.xxhash64("own", F.lit(k)) for k in range(1, LEADERS)]]
-    leads = [F.max_by(F.struct("own", "n"), o) for o in orders]
+    leads = [F.max_by(F.struct("own", "n", "fp"), o) for o in orders]
     lead = large.join(degree, "own").groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("leads")).select("key", F.explode("leads").alias("y"))
     joined = large.alias("x").join(lead, "key")
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * (similarity - 1e-9)
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS
     low, high = F.least("x.own", "y.own").alias("u"), F.greatest("x.own", "y.own").alias("v")
-    return joined.where(fits & (F.col("x.own") != F.col("y.own"))).select(low, high)
+    return joined.where(fits & near & (F.col("x.own") != F.col("y.own"))).select(low, high)
 
 
 def _rest(large: DataFrame, star: DataFrame, sets: DataFrame, similarity: float, parts: int) -> DataFrame:
@@ -205,8 +208,8 @@ def _rest(large: DataFrame, star: DataFrame, sets: DataFrame, similarity: float,
     open_ = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), slices).where("a != b").select("key", "slices")
     mine = F.pmod(F.xxhash64("own", F.lit(7)), F.col("slices")).cast("int")
     dealt = named.join(open_, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "own", "n", "label")
-    whole = dealt.join(sets, "own").select("key", "i", "j", "own", "n", "label", "fp", "set")
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "own", "n", "label", "fp")
+    whole = dealt.join(sets.select("own", "set"), "own").select("key", "i", "j", "own", "n", "label", "fp", "set")
     return settle(whole.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "own").mapInArrow(_joined(similarity), "u long, v long").distinct())
 
 
@@ -226,11 +229,13 @@ def near_copies(numbered: DataFrame, row: str, similarity: float = SIMILARITY) -
     keyed = groups.select("own", "n", F.explode("bands").alias("key"))
     crowd = settle(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     shared = settle(keyed.join(crowd, "key"))
-    picked = shared.select("own").distinct().join(groups.select("own", F.col("best.row").alias("row")), "own")
+    picked = settle(shared.select("own").distinct().join(groups.select("own", F.col("best.row").alias("row")), "own"))
+    if picked.count() <= FETCHED:
+        picked = F.broadcast(picked)
     sets = settle(with_columns(text.join(picked, "row").select("own", "text"), _shingled, "text", "set binary, fp long").select("own", "set", "fp"))
+    shared = settle(shared.join(sets.select("own", "fp"), "own"))
     small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
-    printed = small.join(sets.select("own", "fp"), "own").select("key", "own", "n", "fp")
-    pairs = printed.repartition(parts, "key").sortWithinPartitions("key", "own").mapInArrow(_near(similarity), "u long, v long")
+    pairs = small.select("key", "own", "n", "fp").repartition(parts, "key").sortWithinPartitions("key", "own").mapInArrow(_near(similarity), "u long, v long")
     crowded = not large.isEmpty()
     if crowded:
         pairs = pairs.unionAll(_led(large, similarity))

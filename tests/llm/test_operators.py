@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqlake.llm import langid, licenses, mixing, nearcopies, packing, pii, quality, simhash, tokens, urls, vectors
@@ -878,3 +880,20 @@ def test_quality_draws_in_proportion_to_the_weights(spark):
     keyed = quality.keyed(u).withColumn("group", F.expr("doc_id div 10"))
     first = keyed.groupBy("group").agg(F.max_by("log_weight", "key").alias("w"))
     assert abs(first.agg(F.avg("w")).first()[0] - np.e / (1 + np.e)) < 0.01
+
+
+_BITS = ["a", "Z", "don't", "'s", "'LL", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "​", "7", "42", "½", "²", "é", "É", "ß", "ȿ", "ɐ", "ǅ", "ʰ", "µ", "¿", "«", "é", "́", "Ж", "мир", "漢字", "カ", "ー", "한", "א", "ع", "हि", "ก็", "😀", "👩‍👩", "!", "...", "—", "_", "$5", "<|endoftext|>", "<|endo", "|>", "\x00", "\x7f", "﻿", "\U0001d400", "Ⅷ", "٣"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(_BITS), st.text(max_size=3)), max_size=25).map("".join), min_size=1, max_size=6))
+def test_tokens_of_any_text(texts):
+    """Texts put together give the ids that a plain call gives for each."""
+    from tokenizers import Tokenizer
+
+    if not hasattr(test_tokens_of_any_text, "slow"):
+        test_tokens_of_any_text.slow = Tokenizer.from_file(_paths()[0])
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]  # without lone surrogates, which no table holds
+    ids, size = tokens.tokens(*_paths()).encode([t.encode() for t in texts])
+    want = [test_tokens_of_any_text.slow.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert ids.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]

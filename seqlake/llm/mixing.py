@@ -113,7 +113,8 @@ def _with(rows: DataFrame, goal: DataFrame, plan: DataFrame, source: str, order:
     """rows with their source's goal and their shard's plan. Spark broadcasts either if it is small, else splits a hot source's rows."""
     near = rows.join(goal, rows[source].eqNullSafe(goal["_llm_source"])).drop("_llm_source")
     near = near.withColumn("_llm_at", _shard(F.col(order), F.col("_llm_shards")))
-    return near.join(plan, near[source].eqNullSafe(plan["_llm_of"]) & (near["_llm_at"] == plan["_llm_shard"])).drop("_llm_of", "_llm_shard", "_llm_at")
+    same = near[source].eqNullSafe(plan["_llm_of"]) & (near["_llm_at"] == plan["_llm_shard"])
+    return near.join(plan, same, "left").withColumn("_llm_passes", F.coalesce("_llm_passes", F.lit(0))).drop("_llm_of", "_llm_shard", "_llm_at")
 
 
 def plans(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -127,8 +128,8 @@ def plans(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame, Data
     own = goal.select(F.col("source").alias("_source"), "source_size", "target", "shards")
     joined = rows.join(own, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
     joined = joined.withColumn("shard", _shard(F.col("order"), F.col("shards")))
-    # Rows with equal ids and texts share a place and are taken alike.
-    units = settle(joined.groupBy("source", "shard", "order", "size").agg(F.count("*").alias("times"), F.first("target").alias("target"), F.first("source_size").alias("source_size")))
+    # Rows with equal ids and texts share a place and are taken alike; a shard's words bound how many places it has.
+    units = settle(joined.where("size > 0").groupBy("source", "shard", "order", "size").agg(F.count("*").alias("times"), F.first("target").alias("target"), F.first("source_size").alias("source_size")))
     many = F.col("size") * F.col("times")
     shards = units.groupBy("source", "shard").agg(F.sum(many).alias("shard_size"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     part = F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(0.0)
@@ -151,7 +152,7 @@ def plans(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame, Data
 
 
 def _more(order: str, size: Column) -> Column:
-    """The words that a document has taken beside whole passes. A shard without words has no cut."""
+    """The words that a document has taken beside whole passes. A shard without words has no plan and no cut."""
     cut = F.col("_llm_cut")
     return F.when(F.col(order) < cut, size).when(F.col(order) == cut, F.col("_llm_cut_words")).otherwise(F.lit(0))
 

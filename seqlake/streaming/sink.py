@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.dataset import Dataset, Encoder, FileInfo
 from ..sources import logsource
-from ..sources.log import FileCursor, MemCursor, load, paced_end
+from ..sources.log import Cursor, MemCursor, load, paced_end
 from ..sources.store import open_store
 
 Decode = Callable[[DataFrame], DataFrame]
@@ -39,7 +39,7 @@ def json_decoder(schema: StructType | str, names: dict[str, str] | None = None)
 
 
 class Sink:
-    def __init__(self, spark: SparkSession, log: str, path: str, decode: Decode, *, cursor: MemCursor | FileCursor | None = None, start: int = 0, bucket_size: int = 1 << 20, max_rows: int = 50_000, per_poll: int = 0, codec: str = "snappy", ext: str = "parquet", encoder: Encoder | None = None, store: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, log: str, path: str, decode: Decode, *, cursor: Cursor | None = None, start: int = 0, bucket_size: int = 1 << 20, max_rows: int = 50_000, per_poll: int = 0, codec: str = "snappy", ext: str = "parquet", encoder: Encoder | None = None, store: dict[str, str] | None = None):
         """store: what the log's store needs beside its path, as open_store() names it."""
         logsource.register(spark)
         self.store = store or {}

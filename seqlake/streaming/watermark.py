@@ -6,6 +6,8 @@ import fcntl
 import threading
 from pathlib import Path
 
+from ..sources.store import Busy, Conflict, NotFound, Store
+
 
 class WatermarkConflict(RuntimeError):
     """Another one has moved the watermark."""
@@ -50,3 +52,31 @@ class FileWatermark:
             fresh = self.path.with_name(f".{self.path.name}.tmp")
             fresh.write_text(f"{new}\n")
             fresh.replace(self.path)
+
+
+class StoreWatermark:
+    """Decimal text in an object of a store; its conditional writes make the comparison safe between machines."""
+
+    def __init__(self, store: Store, key: str = "watermark"):
+        self.store, self.key = store, key
+
+    def _now(self) -> tuple[int, str | None]:
+        try:
+            raw, tag = self.store.get(self.key)
+        except NotFound:
+            return 0, None
+        return int(raw), tag
+
+    def load(self) -> tuple[int, bool]:
+        value, tag = self._now()
+        return value, tag is not None
+
+    def save(self, old: int, new: int) -> None:
+        now, tag = self._now()
+        if now != old:
+            raise WatermarkConflict(f"{now}, not {old}")
+        data = f"{new}\n".encode()
+        try:
+            self.store.put(self.key, data, create=True) if tag is None else self.store.put(self.key, data, match=tag)
+        except (Conflict, Busy) as e:
+            raise WatermarkConflict(f"{self.key} has moved") from e

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from seqlake.plans.dataset import BucketSizeMismatch, Dataset, Encoder, Published, parse_part, part_name
 from seqlake.plans.engine import Engine, Mode, NoData, resolve_window
 from seqlake.sources.log import FileCursor, Writer, WriterOptions, truncate
-from seqlake.sources.store import LocalStore
+from seqlake.sources.store import LocalStore, MemStore
 from seqlake.streaming.continuous import Continuous
 from seqlake.streaming.sink import Sink, json_decoder
-from seqlake.streaming.watermark import FileWatermark, MemWatermark, WatermarkConflict
+from seqlake.streaming.watermark import FileWatermark, MemWatermark, StoreWatermark, WatermarkConflict
 
 
 def rows(spark, low, high):
@@ -191,9 +191,9 @@ def test_log_source_stream_and_truncation(spark, tmp_path):
     assert seqs(spark.read.format("seqlog").option("path", path).load()) == [4, 5, 6]
 
 
-@pytest.mark.parametrize("kind", ["memory", "file"])
+@pytest.mark.parametrize("kind", ["memory", "file", "store"])
 def test_watermarks(kind, tmp_path):
-    s = MemWatermark() if kind == "memory" else FileWatermark(tmp_path / "w")
+    s = {"memory": MemWatermark, "file": lambda: FileWatermark(tmp_path / "w"), "store": lambda: StoreWatermark(LocalStore(tmp_path))}[kind]()
     assert s.load() == (0, False)
     s.save(0, 5)
     s.save(5, 10)
@@ -202,6 +202,19 @@ def test_watermarks(kind, tmp_path):
     assert s.load() == (10, True)
 
 
+def test_a_watermark_that_moves_between(monkeypatch):
+    store = MemStore()
+    a, b = StoreWatermark(store), StoreWatermark(store)
+    for old, new in ((0, 5), (5, 9)):
+        held = a._now()
+        b.save(old, new)
+        monkeypatch.setattr(a, "_now", lambda held=held: held)
+        with pytest.raises(WatermarkConflict):
+            a.save(old, 77)
+        monkeypatch.undo()
+    assert a.load() == (9, True)
+
+
 def test_continuous(spark, tmp_path):
     path = str(tmp_path / "d")
     d, e = Dataset(spark, path, 10), Engine(spark, path, 10)

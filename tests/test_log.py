@@ -205,6 +205,16 @@ def test_paced_polls():
     assert [replica.poll() for _ in range(4)] == [2, 2, 1, 0]
 
 
+def test_cursor_object():
+    store = MemStore()
+    assert log.StoreCursor(store).load() is None
+    log.StoreCursor(store).save(2**40)
+    assert log.StoreCursor(store).load() == 2**40
+    store.put("cursor", b"x")
+    with pytest.raises(Corrupt):
+        log.StoreCursor(store).load()
+
+
 def test_cursor_file(tmp_path):
     c = log.FileCursor(tmp_path / "c")
     assert c.load() is None

@@ -37,7 +37,8 @@ from .common import finite_vector, settle
 
 #: Components of a shard's and of a query block's vectors.
 SHARD, BLOCK = 1 << 19, 1 << 18
-LEAF = 128
+#: Vectors of a leaf, at most, of a tree over principal components and of one over projections.
+LEAF, PROJECTED_LEAF = 64, 256
 #: Components of the sample that a dimension's top tree is fitted on, on average, and the tree's levels at most.
 SAMPLE, TOP_LEVELS = 1 << 20, 10
 PRINCIPAL = 32
@@ -58,7 +59,7 @@ class Tree:
     high: list[np.ndarray]
 
 
-def kd_tree(points: np.ndarray, leaf: int = LEAF) -> Tree:
+def kd_tree(points: np.ndarray, leaf: int) -> Tree:
     """Median splits along the widest side of each node's tight box; rows equal in all dimensions split as well."""
     n = len(points)
     depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
@@ -164,7 +165,7 @@ def principal(x: np.ndarray, most: int = PRINCIPAL) -> Principal:
 def search_exact(held: Side, asks: Side, floor: np.ndarray, k: int) -> Best:
     best = Best(len(asks.x), k, floor, np.int64)
     kind = principal(held.x)
-    tree, q = kd_tree(kind.of(held.x)), kind.asked(asks.x)
+    tree, q = kd_tree(kind.of(held.x), LEAF), kind.asked(asks.x)
     alive = np.ones((len(q), 1), bool)
     for low, high in zip(tree.low, tree.high):
         bound = kind.bound(q, low, high)
@@ -244,7 +245,7 @@ def search_projected(held: Side, asks: Side, floor: np.ndarray, k: int, most: fl
     best = Best(len(asks.x), k, floor, np.float64)
     kind = Projected(held.x.shape[1], float(np.einsum("nd,nd->n", held.x, held.x).max()) if most is None else most)
     shadow, q = kind.of(held.x), kind.asked(asks.x)
-    tree = kd_tree(shadow)
+    tree = kd_tree(shadow, PROJECTED_LEAF)
     gap = kind.gap(q, tree.low[-1], tree.high[-1])
     turn = np.argsort(gap, axis=1, kind="stable")
     length = np.einsum("nd,nd->n", shadow, shadow)
@@ -261,10 +262,15 @@ def search_projected(held: Side, asks: Side, floor: np.ndarray, k: int, most: fl
             rows = open_[leaf == node]
             members = tree.order[tree.edges[node] : tree.edges[node + 1]]
             distance = own[rows][:, None] + length[members][None, :] - 2 * (at[rows] @ shadow[members].T)
-            a, b = np.nonzero((distance < kind.reach(q[rows], best.kth()[rows])[:, None]) & (held.row[members][None, :] != asks.row[rows][:, None]))
+            kth = best.kth()[rows]
+            through = (distance < kind.reach(q[rows], kth)[:, None]) & (held.row[members][None, :] != asks.row[rows][:, None])
+            best.scored[rows] += through.sum(axis=1)
+            # A leaf's products come from one multiplication, rounded as it likes; what may count is scored again, pair by pair.
+            rough = asks.x[rows] @ held.x[members].T
+            room = 1e-12 * np.sqrt(kind.most * q[rows, -1])
+            a, b = np.nonzero(through & (rough >= (kth - room)[:, None]))
             scores = np.full((len(rows), len(members)), best.worst)
             scores[a, b] = np.einsum("nd,nd->n", asks.x[rows[a]], held.x[members[b]])
-            best.scored[rows] += np.bincount(a, minlength=len(rows))
             best.add(rows, scores, held.id[members])
     return best
 
@@ -319,7 +325,7 @@ def _by_dim(batch: pa.RecordBatch, do: Callable[[int, np.ndarray, np.ndarray], N
 
 
 def nearest(vectors: DataFrame, k: int, is_query: Column, exact: bool) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best, ties to the smaller vec_id; and scored: the candidates that were scored for it.
+    """query_id, rank, vec_id, score: each query's k best, ties to the smaller vec_id; and scored: the candidates that came to be scored for it.
 
     Rows whose vec_id or vector is null, or whose vector is empty or has null
     or non-finite components, take no part; for the approximate search no zero

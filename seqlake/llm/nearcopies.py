@@ -30,8 +30,8 @@ from . import simhash
 from .common import components, settle, with_columns
 
 WORDS, SIMILARITY = 5, 0.8
-#: A pair at a similarity of 0.8 differs in a bit with probability 0.15: in more than 22 of 64 with one of 1e-5.
-RADIUS = 22
+#: A pair at a similarity of 0.8 differs in a bit with probability 0.15, of sets of four and five shingles 0.19: in more than 26 of 64 with one of 2e-6 at most.
+RADIUS = 26
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
 BANDS, DEPTH, SEED = 24, 5, 42
 SMALL, LEADERS = 16, 3

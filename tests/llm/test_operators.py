@@ -151,6 +151,8 @@ def test_near_copies_by_brute_force(spark, monkeypatch, small, hot):
     passage = [f"p{i}" for i in range(170)]
     rows += [" ".join([*passage, *[f"r{k}x{i}" for i in range(int(rng.integers(5, 60)))]]) for k in range(40)]
     rows += [" ".join(rng.choice(["a", "b"], 40)) for _ in range(10)]
+    short = [[f"s{k}y{i}" for i in range(9)] for k in range(60)]
+    rows += [" ".join(w[:n]) for w in short for n in (9, 8)]  # five shingles and four of them
     sets = [set(nearcopies.shingles(t.encode()).tolist()) for t in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):

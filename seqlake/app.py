@@ -256,7 +256,11 @@ class Consumer:
 
 
 def main(args: list[str] | None = None) -> None:
-    config, stop = load_config(sys.argv[1:] if args is None else args), threading.Event()
+    stop = threading.Event()
+    try:
+        config = load_config(sys.argv[1:] if args is None else args)
+    except ValueError as e:
+        sys.exit(f"seqlake: {e}")
     try:
         if config.mode == "producer":
             produce(config, stop)

@@ -7,12 +7,13 @@ search could be dealt by agree at such a radius. So a shard is the sets that sha
 MinHash band instead; its BK-tree, over SimHash fingerprints, is followed within RADIUS,
 and the two sets of a pair that it finds are compared.
 
-Rows of equal sets are one group before that. In a shard of at most SMALL sets
-all pairs within the radius are candidates. In a larger one every set is first compared
-with a few leaders, those that share bands with most sets among them; what is
-not one component after that goes to a task with its sets, which compares, exactly,
-every pair within the radius that no link joins yet. Of a shard that is too large for a task,
-each pair of slices is one.
+Rows of equal sets are one group before that. In every shard each set is first
+compared with a leader, the one that shares bands with most sets, and in shards
+of more than SMALL sets with two others. Pairs within the radius that no link
+joins after that are all compared: those of a small shard as pairs, those of a
+large one in a task that has its sets. Of a shard that is too large for a task,
+each pair of slices is one. So every pair of a shard is compared or joined
+already, and groups of copies aren't expanded into pairs.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ BANDS, DEPTH, SEED = 24, 5, 42
 SMALL, LEADERS = 16, 3
 #: Sets, and shingles in all, of a slice of a large shard.
 HOT, HEAVY = 2048, 1 << 20
-#: Rows (two numbers each) whose texts are fetched by a broadcast at most; of more, by a shuffle.
+#: Rows (two numbers each) that are broadcast at most to the texts and sets that they are of; more are shuffled.
 FETCHED = 1 << 21
 #: Shingles that are permuted at once.
 STEP = 1 << 12
@@ -83,7 +84,9 @@ def _signed(texts: pa.Array) -> dict[str, pa.Array]:
 def _shingled(texts: pa.Array) -> dict[str, pa.Array]:
     own = [shingles(t.as_py()) for t in texts]
     fps = np.fromiter((simhash.fold(x.byteswap().tobytes()) for x in own), np.uint64, len(own))
-    return {"set": pa.array([x.tobytes() for x in own], pa.binary()), "fp": pa.array(fps.view(np.int64))}
+    ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+    every = np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)
+    return {"set": pa.ListArray.from_arrays(pa.array(ends), pa.array(every)), "fp": pa.array(fps.view(np.int64))}
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -91,22 +94,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _alike(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("a"), batch.column("b"))
-            same = [jaccard(*[np.frombuffer(x.as_py(), np.uint64) for x in p]) >= similarity for p in pairs]
-            yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
-
-    return run
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    a, b = (sets.select(F.col("own").alias(k), F.col("set").alias(s)) for k, s in (("u", "a"), ("v", "b")))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-    return settle(both.mapInArrow(_alike(similarity), "u long, v long"))
-
-
 def _sizes(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of these sizes can be as similar."""
     return np.minimum(a, b) >= np.maximum(a, b) * (similarity - 1e-9)
@@ -135,13 +122,13 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[t
 
 
 def _near(similarity: float):
-    """Rows (key, own, n, fp) sorted by key -> pairs (u, v) of sets of a shard within the radius."""
+    """Rows (key, own, n, fp, label) sorted by key -> pairs (u, v) within the radius of a shard's sets that aren't joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for both, shard in _runs(batches, 1, 1 << 17):
-            own, n, fp = (both.column(c).to_numpy() for c in ("own", "n", "fp"))
+            own, n, fp, label = (both.column(c).to_numpy() for c in ("own", "n", "fp", "label"))
             for a, b in simhash.bk_links(shard, fp.view(np.uint64), RADIUS):
-                fits = _sizes(n[a], n[b], similarity)
+                fits = _sizes(n[a], n[b], similarity) & (label[a] != label[b])
                 ends = np.sort(np.stack([own[a[fits]], own[b[fits]]]), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["u", "v"])
 
@@ -157,8 +144,9 @@ def _joined(similarity: float):
             # Components are told apart by shard, as a link in one says nothing to the task that has another.
             _, root = np.unique(np.stack([shard, both.column("label").to_numpy()], axis=1), axis=0, return_inverse=True)
             root, up, found = root.ravel(), np.arange(len(own)), []
-            sets = both.column("set").combine_chunks()
-            read = lambda i: np.frombuffer(sets[i].as_buffer(), np.uint64)
+            sets = pa.concat_arrays(both.column("set").chunks)
+            ends, every = sets.offsets.to_numpy(), sets.values.to_numpy()
+            read = lambda i: every[ends[i] : ends[i + 1]]
 
             def top(k: int) -> int:
                 while up[k] != k:
@@ -181,35 +169,49 @@ def _joined(similarity: float):
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, settled, to be broadcast if it has at most FETCHED rows."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= FETCHED else df
+
+
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of some ids, found before sets are shuffled where the ids are few."""
+    return sets.join(_few(ids.distinct()), "own", "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    a, b = (sets.select(F.col("own").alias(k), F.col("set").alias(s)) for k, s in (("u", "a"), ("v", "b")))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-    return settle(both.mapInArrow(_alike(similarity), "u long, v long"))
+    pairs = _few(pairs)
+    a = sets.select(F.col("own").alias("u"), F.col("set").alias("a"))
+    b = _only(sets, pairs.select(F.col("v").alias("own"))).select(F.col("own").alias("v"), F.col("set").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    both = a.join(pairs, "u").join(b, "v").where(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9)
+    return settle(both.select("u", "v"))
 
 
-def _led(large: DataFrame, similarity: float) -> DataFrame:
+def _led(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs (u, v), within the radius, of every set with its shards' leaders."""
-    degree = large.groupBy("own").agg(F.sum("size").alias("degree"))
+    degree = shared.groupBy("own").agg(F.sum("size").alias("degree"))
     orders: list[Column] = [F.struct("degree", "own"), *[F.xxhash64("own", F.lit(k)) for k in range(1, LEADERS)]]
     leads = [F.max_by(F.struct("own", "n", "fp"), o) for o in orders]
-    lead = large.join(degree, "own").groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("leads")).select("key", F.explode("leads").alias("y"))
-    joined = large.alias("x").join(lead, "key")
+    some = F.when(F.first("size") > SMALL, F.array_distinct(F.array(*leads))).otherwise(F.array(leads[0]))
+    lead = shared.join(degree, "own").groupBy("key").agg(some.alias("leads")).select("key", F.explode("leads").alias("y"))
+    joined = shared.alias("x").join(lead, "key")
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * (similarity - 1e-9)
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS
     low, high = F.least("x.own", "y.own").alias("u"), F.greatest("x.own", "y.own").alias("v")
-    return joined.where(fits & near & (F.col("x.own") != F.col("y.own"))).select(low, high)
+    return joined.where(fits & near & (F.col("x.own") != F.col("y.own"))).select(low, high).distinct()
 
 
-def _rest(large: DataFrame, star: DataFrame, sets: DataFrame, similarity: float, parts: int) -> DataFrame:
-    """Links (u, v) between components that meet in a large shard."""
-    named = large.join(star.select(F.col("u").alias("own"), F.col("v").alias("label")), "own", "left").withColumn("label", F.coalesce("label", "own"))
-    named = settle(named)
+def _rest(named: DataFrame, sets: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """Links (u, v) between components (label) that meet in a large shard."""
     slices = F.ceil(F.greatest(F.count("*") / HOT, F.sum("n") / HEAVY)).cast("int").alias("slices")
     open_ = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), slices).where("a != b").select("key", "slices")
     mine = F.pmod(F.xxhash64("own", F.lit(7)), F.col("slices")).cast("int")
     dealt = named.join(open_, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "own", "n", "label", "fp")
-    whole = dealt.join(sets.select("own", "set"), "own").select("key", "i", "j", "own", "n", "label", "fp", "set")
+    dealt = settle(dealt)
+    whole = dealt.join(_only(sets, dealt.select("own")).select("own", "set"), "own").select("key", "i", "j", "own", "n", "label", "fp", "set")
     return settle(whole.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "own").mapInArrow(_joined(similarity), "u long, v long").distinct())
 
 
@@ -227,24 +229,19 @@ def near_copies(numbered: DataFrame, row: str, similarity: float = SIMILARITY) -
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     groups = settle(signed.groupBy("own").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")))
     keyed = groups.select("own", "n", F.explode("bands").alias("key"))
-    crowd = settle(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    crowd = _few(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     shared = settle(keyed.join(crowd, "key"))
-    picked = settle(shared.select("own").distinct().join(groups.select("own", F.col("best.row").alias("row")), "own"))
-    if picked.count() <= FETCHED:
-        picked = F.broadcast(picked)
-    sets = settle(with_columns(text.join(picked, "row").select("own", "text"), _shingled, "text", "set binary, fp long").select("own", "set", "fp"))
+    picked = _few(shared.select("own").distinct().join(groups.select("own", F.col("best.row").alias("row")), "own"))
+    sets = settle(with_columns(text.join(picked, "row").select("own", "text"), _shingled, "text", "set array<long>, fp long").select("own", "set", "fp"))
     shared = settle(shared.join(sets.select("own", "fp"), "own"))
-    small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
-    pairs = small.select("key", "own", "n", "fp").repartition(parts, "key").sortWithinPartitions("key", "own").mapInArrow(_near(similarity), "u long, v long")
-    crowded = not large.isEmpty()
-    if crowded:
-        pairs = pairs.unionAll(_led(large, similarity))
-    links = _verified(pairs.distinct(), sets, similarity)
-    star = components(links)
-    if crowded:
-        more = _rest(large, star, sets, similarity, parts)
-        if not more.isEmpty():
-            star = components(links.unionAll(more))
+    led = settle(_led(shared, similarity))
+    links = _verified(led, sets, similarity)
+    star = components(links).select(F.col("u").alias("own"), F.col("v").alias("label"))
+    named = settle(shared.join(star, "own", "left").withColumn("label", F.coalesce("label", "own")))
+    small, large = named.where(F.col("size") <= SMALL), named.where(F.col("size") > SMALL)
+    pairs = small.select("key", "own", "n", "fp", "label").repartition(parts, "key").sortWithinPartitions("key", "own").mapInArrow(_near(similarity), "u long, v long")
+    more = _verified(pairs.distinct().join(led, ["u", "v"], "left_anti"), sets, similarity)
+    star = components(links.unionAll(more).unionAll(_rest(large, sets, similarity, parts)))
     star = settle(star.select(F.col("u").alias("own"), F.col("v").alias("label")))
     member = star.unionAll(star.select(F.col("label").alias("own"), "label").distinct())
     lowest = settle(member.join(groups, "own").groupBy("label").agg(F.min("best").alias("lowest")))

@@ -36,6 +36,8 @@ from .common import settle
 KINDS = ["email", "ip", "card", "phone"]
 PRECISION = 0.95
 ROUNDS, DEPTH, RATE = 24, 3, 0.3
+#: Documents and spans that are broadcast at most to the texts that they are of; more are shuffled.
+FETCHED = 1 << 20
 #: Candidates' worth of the precision of all kinds in that of one.
 PRIOR = 20
 
@@ -285,6 +287,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     hits = detect(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_llm_id"), F.col("hash").alias("_llm_hash"), F.col("found").alias("_llm_found"))
     hits = settle(hits.groupBy("_llm_id", "_llm_hash").agg(F.first("_llm_found").alias("_llm_found")))
+    rows, held = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("_llm_found")), F.lit(0))).first()
+    if rows + held <= FETCHED:
+        hits = F.broadcast(hits)
     digit, at, spelled = _signs(F.coalesce(F.col("text"), F.lit("")))
     # Only texts in which something can be found are shuffled to their spans.
     open_ = docs.where(digit | at | spelled)

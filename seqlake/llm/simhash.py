@@ -31,7 +31,7 @@ WORDS, RADIUS, SEED = 4, 4, 42
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 HOT = 4096
 #: (query, node) pairs that one step of a search holds.
-FRONTIER = 1 << 21
+FRONTIER = 1 << 18
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]

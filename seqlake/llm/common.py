@@ -16,7 +16,7 @@ from ..plans.ship import ship
 from ..plans.workspace import remove, shared_folder
 
 #: Characters (or bytes) of text that a Python worker turns into arrays at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _scopes: list[list[str]] = []
 #: Cells of a pass of the threshold search.
 CELLS = 4096
@@ -76,18 +76,18 @@ def chunks(lengths: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         at = end
 
 
-def with_columns(df: DataFrame, make: Callable[[pa.Array], dict[str, pa.Array]], column: str, added: str) -> DataFrame:
-    """df's columns followed by those that make(array of `column`) gives; added: their DDL. No shuffle."""
+def with_columns(df: DataFrame, make: Callable[[pa.Array], dict[str, pa.Array]], column: str, added: str, keep: bool = True) -> DataFrame:
+    """df's columns followed by those that make(array of `column`) gives; added: their DDL. No shuffle. keep=False leaves `column` out."""
     ship(df.sparkSession)
     schema, more = df.schema, StructType.fromDDL(added)
-    kept, names = len(schema.fields), more.fieldNames()
     at = schema.fieldNames().index(column)
-    out = StructType([*schema.fields, *more.fields])
+    kept, names = [i for i in range(len(schema.fields)) if keep or i != at], more.fieldNames()
+    out = StructType([*[schema.fields[i] for i in kept], *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = make(b.column(at))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(kept)] + [made[n] for n in names], names=out.fieldNames())
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + [made[n] for n in names], names=out.fieldNames())
 
     return df.mapInArrow(run, out)
 

@@ -278,8 +278,8 @@ def label(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     return langs, score, spans
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, lang_score and lang_spans (first word, word after the last, language) added; no shuffle.
+def identify(docs: DataFrame, model: Model, keep: bool = True) -> DataFrame:
+    """docs with lang_pred, lang_score and lang_spans (first word, word after the last, language) added; no shuffle. keep=False leaves the text out.
 
     `und` with score 0 and no spans for a null text, one without letters, or a
     model without languages.
@@ -293,13 +293,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         rows = [[{"first": a, "stop": b, "lang": m.langs[k]} for a, b, k in x] for x in spans]
         return {"lang_pred": pa.array(langs, pa.string()), "lang_score": pa.array(score), "lang_spans": pa.array(rows, kind)}
 
-    return with_columns(docs, make, "text", "lang_pred string, lang_score double, lang_spans array<struct<first:int,stop:int,lang:string>>")
+    return with_columns(docs, make, "text", "lang_pred string, lang_score double, lang_spans array<struct<first:int,stop:int,lang:string>>", keep)
 
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_spans for every row, repeated rows and null ids included."""
     model = fit(docs)
-    found = identify(docs.select("doc_id", "text"), model)
+    found = identify(docs.select("doc_id", "text"), model, keep=False)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
 
 

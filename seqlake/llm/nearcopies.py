@@ -225,14 +225,14 @@ def near_copies(numbered: DataFrame, row: str, similarity: float = SIMILARITY) -
     """
     parts = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = numbered.select(F.col(row).alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
-    signed = settle(with_columns(text, _signed, "text", "own long, n long, bands array<long>").drop("text"))
+    signed = settle(with_columns(text, _signed, "text", "own long, n long, bands array<long>", keep=False))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     groups = settle(signed.groupBy("own").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")))
     keyed = groups.select("own", "n", F.explode("bands").alias("key"))
     crowd = _few(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     shared = settle(keyed.join(crowd, "key"))
     picked = _few(shared.select("own").distinct().join(groups.select("own", F.col("best.row").alias("row")), "own"))
-    sets = settle(with_columns(text.join(picked, "row").select("own", "text"), _shingled, "text", "set array<long>, fp long").select("own", "set", "fp"))
+    sets = settle(with_columns(text.join(picked, "row").select("own", "text"), _shingled, "text", "set array<long>, fp long", keep=False))
     shared = settle(shared.join(sets.select("own", "fp"), "own"))
     led = settle(_led(shared, similarity))
     links = _verified(led, sets, similarity)

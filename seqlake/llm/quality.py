@@ -116,7 +116,7 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION) ->
         return {"log_weight": pa.array(out)}
 
     narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    scored = with_columns(narrow, make, "text", "log_weight double").select("doc_id", "log_weight")
+    scored = with_columns(narrow, make, "text", "log_weight double", keep=False).select("doc_id", "log_weight")
     scored = settle(keyed(scored))
     n = scored.count()
     least = threshold(scored, round(n * fraction)) if n and round(n * fraction) else None

@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {"fp": pa.array(fps.view(np.int64))}
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return with_columns(narrow, make, "text", "fp long").select("doc_id", "fp")
+    return with_columns(narrow, make, "text", "fp long", keep=False).select("doc_id", "fp")
 
 
 def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

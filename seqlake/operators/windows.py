@@ -1,7 +1,10 @@
-"""Window forms that Spark SQL lacks: QUALIFY, DISTINCT ON, GROUPS frames, EXCLUDE CURRENT ROW."""
+"""Window forms that Spark SQL lacks: QUALIFY, DISTINCT ON, GROUPS frames, EXCLUDE CURRENT ROW; percentiles that are exact."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,5 +42,35 @@ def limit_percent(df: DataFrame, percent: float, order: list) -> DataFrame:
     return numbered.where(F.col("_place_of") < int(numbered.count() * percent / 100)).drop("_place_of")
 
 
+def beside(df: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """df with the other columns of its group's one row in `few`, which is sent to all tasks. NULL is a key like any other."""
+    right = few.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return df.join(F.broadcast(right), on).drop(*[f"_by_{c}" for c in by])
+
+
+def exact_percentile(df: DataFrame, value: str, by: list[str], p: float, name: str, accuracy: int = 10_000) -> DataFrame:
+    """The least value of each group that p of its values don't exceed; NULLs aside, NULL if there are no others.
+
+    percentile_approx states two values around it. The values outside are only
+    counted, and a task puts in order what lies between, a few in ten thousand.
+    Where the counts show that the percentile lies elsewhere (NaN among the
+    values), all of the group's are put in order.
+    """
+    ends = [max(0.0, p - 5 / accuracy), min(1.0, p + 5 / accuracy)]
+    span = df.groupBy(*by).agg(F.percentile_approx(value, ends, accuracy).alias("_span"))
+    counts = df.groupBy(*by, value).agg(F.count(value).alias("_n"))
+
+    x, low, high = F.col(value), F.col("_span")[0], F.col("_span")[1]
+    below, inside = F.sum(F.when(x < low, F.col("_n")).otherwise(0)), F.sum(F.when(x.between(low, high), F.col("_n")).otherwise(0))
+    sums = beside(counts, span, by).groupBy(*by).agg(F.sum("_n").alias("_all"), below.alias("_below"), inside.alias("_inside"), F.first("_span").alias("_span"))
+    place = F.greatest(F.ceil(F.col("_all") * p), F.lit(1))
+    held = (place > F.col("_below")) & (place <= F.col("_below") + F.col("_inside"))
+    sums = sums.select(*by, place.alias("_place"), F.when(held, F.col("_below")).otherwise(0).alias("_below"), F.when(held, F.col("_span")).alias("_span"))
+    kept = beside(counts, sums, by).where(F.col("_span").isNull() | x.between(low, high) | x.isNull())
+    run = F.col("_below") + F.sum("_n").over(Window.partitionBy(*by).orderBy(value))
+    return kept.withColumn("_reached", (run >= F.col("_place")) & x.isNotNull()).groupBy(*by).agg(F.min(F.when(F.col("_reached"), x)).alias(name))
+
+
 def dedup(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicates(keys)

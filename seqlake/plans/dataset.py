@@ -17,10 +17,12 @@ from dataclasses import dataclass
 from itertools import islice
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, BooleanType, ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructType, TimestampNTZType, TimestampType
 
 from .ship import ship
 
@@ -83,6 +85,58 @@ RENAMES = 32
 FEW = 64
 
 
+#: Types that Arrow's Parquet files hold as Spark's do.
+PLAIN = (BinaryType, BooleanType, ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, TimestampNTZType, TimestampType)
+#: Tasks that list folders, for each core.
+LISTERS = 2
+#: Bytes of a Parquet file's rows that its task holds before it writes them.
+GROUP_BYTES = 1 << 26
+
+
+class _Whole:
+    """A part by the caller's encoder, which takes all of its rows."""
+
+    def __init__(self, path: str, encoder: Encoder):
+        self.path, self.encoder, self.rows = path, encoder, []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.rows.append(rows)
+
+    def close(self) -> None:
+        self.encoder.write(self.path, pa.Table.from_batches(self.rows))
+
+
+class _Parquet:
+    """A part in Parquet as Spark has it; rows are held up to GROUP_BYTES.
+
+    Spark's own writer costs more for each file: on a local folder it starts a
+    process to set a mode, for the file and its checksums, and the driver
+    renames all files one by one.
+    """
+
+    def __init__(self, path: str, codec: str, kept: dict[str, str]):
+        self.path, self.codec, self.kept = path, codec, kept
+        self.rows: list[pa.RecordBatch] = []
+        self.bytes, self.out = 0, None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.rows.append(rows)
+        self.bytes += rows.nbytes
+        if self.bytes >= GROUP_BYTES:
+            self._flush()
+
+    def _flush(self) -> None:
+        rows = pa.Table.from_batches(self.rows).replace_schema_metadata(self.kept)
+        self.out = self.out or pq.ParquetWriter(self.path, rows.schema, compression=self.codec)
+        self.out.write_table(rows)
+        self.rows, self.bytes = [], 0
+
+    def close(self) -> None:
+        if self.rows:
+            self._flush()
+        self.out.close()
+
+
 class Dataset:
     def __init__(self, spark: SparkSession, path: str, bucket_size: int = 1 << 20, ext: str = "parquet", encoder: Encoder | None = None):
         self.spark, self.path, self.bucket_size, self.encoder = spark, path.rstrip("/"), bucket_size, encoder
@@ -181,7 +235,14 @@ class Dataset:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         out = placed.repartition(parts, "_bucket", "_part").sortWithinPartitions("_bucket", "_part", seq)
         try:
-            staged = self._encoded(out, stage, seq) if self.encoder else self._written(out, df.schema, stage, codec, seq, row_group_bytes)
+            if self.encoder:
+                encoder = self.encoder
+                staged = self._encoded(out, stage, seq, encoder.ext.lstrip("."), lambda path: _Whole(path, encoder))
+            elif self.folder is not None and self.ext == "parquet" and row_group_bytes is None and all(type(f.dataType) in PLAIN for f in df.schema):
+                kept = {"org.apache.spark.version": self.spark.version, "org.apache.spark.sql.parquet.row.metadata": df.schema.json()}
+                staged = self._encoded(out, stage, seq, "parquet", lambda path: _Parquet(path, codec, kept))
+            else:
+                staged = self._written(out, df.schema, stage, codec, seq, row_group_bytes)
             if staged is None:
                 return None
             self._keep_size()
@@ -203,36 +264,39 @@ class Dataset:
         read = self.spark.read.schema(schema).format(kind).option("recursiveFileLookup", "true").load(stage)
         return read.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(seq).cast("long").alias("first"), F.max(seq).cast("long").alias("last"))
 
-    def _encoded(self, out: DataFrame, stage: str, seq: str) -> DataFrame:
-        """Staged files (path, first, last) by the caller's encoder, in tasks."""
+    def _encoded(self, out: DataFrame, stage: str, seq: str, ext: str, begin: Callable[[str], _Whole | _Parquet]) -> DataFrame:
+        """Staged files (path, first, last), written in tasks by what begin(path) gives."""
         if self.folder is None:
             raise ValueError("an encoder writes to a folder that executors share")
         ship(self.spark)
-        folder, encoder = self._at(stage).toUri().getPath(), self.encoder
+        folder = self._at(stage).toUri().getPath()
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             os.makedirs(folder, exist_ok=True)
-            held: list[pa.RecordBatch] = []
+            part, now, first, last, done = None, None, None, None, []
 
-            def put() -> pa.RecordBatch:
-                both = pa.Table.from_batches(held).drop_columns(["_bucket", "_part"])
-                seqs = both.column(seq)
-                path = f"{folder}/{uuid.uuid4().hex}.{encoder.ext.lstrip('.')}"
-                encoder.write(path, both)
-                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((f"file://{path}", pa.string()), (seqs[0].as_py(), pa.int64()), (seqs[-1].as_py(), pa.int64()))], names=["path", "first", "last"])
+            def end() -> None:
+                part.close()
+                done.append((f"file://{part.path}", first, last))
 
             for b in batches:
-                keys = list(zip(b.column("_bucket").to_pylist(), b.column("_part").to_pylist()))
-                at = 0
-                for i in range(1, len(keys) + 1):
-                    if i == len(keys) or keys[i] != keys[at]:
-                        if held and (held[0].column("_bucket")[0].as_py(), held[0].column("_part")[0].as_py()) != keys[at]:
-                            yield put()
-                            held.clear()
-                        held.append(b.slice(at, i - at))
-                        at = i
-            if held:
-                yield put()
+                keys = [b.column(c).to_numpy(zero_copy_only=False) for c in ("_bucket", "_part")]
+                cuts = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
+                for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                    if at == to:
+                        continue
+                    rows = b.slice(at, to - at)
+                    key, seqs = (keys[0][at], keys[1][at]), rows.column(seq)
+                    if key != now:
+                        if part:
+                            end()
+                        part, now, first = begin(f"{folder}/{uuid.uuid4().hex}.{ext}"), key, seqs[0].as_py()
+                    part.add(rows.drop_columns(["_bucket", "_part"]))
+                    last = seqs[-1].as_py()
+            if part:
+                end()
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done), (pa.string(), pa.int64(), pa.int64()))], names=["path", "first", "last"])
 
         out.mapInArrow(write, "path string, first long, last long").write.parquet(f"{stage}/_list")
         return self.spark.read.parquet(f"{stage}/_list")
@@ -284,6 +348,16 @@ class Dataset:
             finally:
                 f.close()
 
+    def _listed(self, load: Callable[[], DataFrame]) -> DataFrame:
+        """load(), where Spark lists the folders of buckets by LISTERS tasks a core; by itself it takes one a folder."""
+        key, most = "spark.sql.sources.parallelPartitionDiscovery.parallelism", LISTERS * self.spark.sparkContext.defaultParallelism
+        had = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(min(int(had), most)))
+        try:
+            return load()
+        finally:
+            self.spark.conf.set(key, had)
+
     def read(self, schema: StructType | None = None, buckets: tuple[int, int] | None = None) -> DataFrame:
         """All parts, columns by name, NULL where a file lacks one; seq_bucket is a LONG column where there are buckets.
 
@@ -301,6 +375,6 @@ class Dataset:
                     return self.spark.createDataFrame([], schema)
                 if whole and len(inside) <= FEW:
                     where = [f"{self.path}/{name}" for name in sorted(inside)]
-            return reader.schema(schema).format(kind).load(where)
-        df = reader.option("mergeSchema", "true").format(kind).load(self.path)
+            return self._listed(lambda: reader.schema(schema).format(kind).load(where))
+        df = self._listed(lambda: reader.option("mergeSchema", "true").format(kind).load(self.path))
         return df.withColumn("seq_bucket", F.col("seq_bucket").cast("long")) if "seq_bucket" in df.columns else df

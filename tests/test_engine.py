@@ -248,3 +248,39 @@ def test_limit_percent(spark, percent):
     got = sorted((r.tie, r.id) for r in limit_percent(df, percent, ["tie", "id"]).collect())
     assert got == sorted((i % 2, i) for i in range(97))[: int(97 * percent / 100)]
     assert limit_percent(df.limit(0), percent, ["id"]).count() == 0
+
+
+def test_parquet_parts_by_tasks(spark, tmp_path, monkeypatch):
+    """Plain types come back as Spark's own writer has them, and one file costs no more than itself; other types are Spark's to write."""
+    from seqlake.plans import dataset
+
+    plain = ["seq", "cast(seq % 3 AS tinyint) AS b", "cast(seq AS smallint) AS s", "cast(seq AS int) AS i", "float(seq) / 3 AS f", "if(seq = 3, double('NaN'), seq / 7) AS d", "cast(seq AS decimal(7, 2)) AS p", "cast(seq AS decimal(30, 4)) AS q"]
+    plain += ["if(seq % 2 = 0, null, 'é' || seq) AS t", "encode(string(seq), 'utf-8') AS x", "seq % 2 = 0 AS y", "date'0999-12-30' + cast(seq AS int) AS z", "timestamp'1501-01-01 00:00:00.000001' + make_interval(0, 0, 0, cast(seq AS int)) AS at", "timestamp_ntz'2020-01-01 01:02:03.000004' AS n"]
+    df = spark.range(0, 25).withColumnRenamed("id", "seq").selectExpr(*plain)
+    own = Dataset(spark, str(tmp_path / "own"), 10)
+    own.publish(df, max_rows=4, row_group_bytes=1 << 20)
+    monkeypatch.setattr(Dataset, "_written", None)
+    monkeypatch.setattr(dataset, "GROUP_BYTES", 1)
+    for codec in ("snappy", "zstd", "gzip", "none"):
+        d = Dataset(spark, str(tmp_path / codec), 10)
+        assert d.publish(df, max_rows=4, codec=codec) == Published(8, 0, 24)
+        assert [(f.first, f.last) for f in d.files()] == [(f.first, f.last) for f in own.files()]
+        assert d.read().schema == own.read().schema
+        assert [str(r) for r in d.read().orderBy("seq").collect()] == [str(r) for r in own.read().orderBy("seq").collect()] and d.read().count() == 25
+    with pytest.raises(TypeError):
+        Dataset(spark, str(tmp_path / "array"), 10).publish(df.withColumn("a", F.array("seq")))
+
+
+def test_few_tasks_list_many_buckets(spark, tmp_path):
+    path = str(tmp_path / "d")
+    Dataset(spark, path, 10).publish(rows(spark, 0, 1000))
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    had = spark.conf.get(key)
+    schema = rows(spark, 0, 1).schema
+    spark.sparkContext.setJobGroup("listing", "")
+    df, _ = Engine(spark, path, 10, schema=schema).window(Mode.CUMULATIVE)
+    spark.sparkContext.setJobGroup("after", "")
+    seen = spark.sparkContext.statusTracker()
+    stages = [s for j in seen.getJobIdsForGroup("listing") for s in seen.getJobInfo(j).stageIds]
+    assert stages and max(seen.getStageInfo(s).numTasks for s in stages) <= 8 and spark.conf.get(key) == had
+    assert df.count() == 1000
